@@ -45,5 +45,49 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents").select("doc_id", "text"), [1.0] * 16)
 
 
-QUERIES: dict[str, Query] = {"op6_mixing": op6_mixing, "op8_sharding": op8_sharding}
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.ppm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.embeddings import links
+
+    return links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.simhash import classes
+
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.toxicity import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_embedding_dedup, op4_simhash, op5_toxicity, op6_mixing, op7_packing, op8_sharding, op10_warc)
+}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
