@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import remainder, row_blocks, shared_dir, utf8
 
 #: Longest context in bytes; sequences have one byte more.
-ORDER = 5
+ORDER = 6
 #: Sequences of each length that the model keeps at most, and words that are scored without a join at most.
-NODES, WORDS = 1 << 19, 1 << 20
+NODES, WORDS = 1 << 21, 1 << 20
 #: No UTF-8 text holds these bytes: they stand before its start and at its end.
 START, END = 0xFE, 0xFF
 #: Bytes that can follow a context: all but START.
@@ -83,32 +83,92 @@ def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[first], sums.astype(np.int64)
 
 
-def gather(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, n): the sequences of order + 1 bytes of all texts and their counts, added up in each task before the shuffle."""
+def pack_table(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts in a few bytes each."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype(np.uint64)
+    return len(keys).to_bytes(8, "little") + pa.compress(np.concatenate((gaps, counts.astype(np.uint64))).tobytes(), "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def unpack_table(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    both = np.frombuffer(pa.decompress(data[8:], 16 * n, "zstd", asbytes=True), np.uint64)
+    return np.cumsum(both[:n], dtype=np.uint64), both[n:].astype(np.int64)
+
+
+def merge(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tables[0] if len(tables) == 1 else tally(np.concatenate([k for k, _ in tables]), np.concatenate([n for _, n in tables]))
+
+
+def gather(texts: DataFrame, order: int, least: int) -> DataFrame:
+    """(k, key, n, total): the sequences of k + 1 bytes that occur at least so often, their counts and those of their contexts.
+
+    Each task counts its sequences of order + 1 bytes and sends them on as compressed tables, dealt by the last two bytes
+    of the context, so that whoever gets them can tell all orders from 2 on by itself. Of order 1 it has parts: those
+    rows (k = 1) come whole, without total, and are to be added up; there are at most 65,536 different ones.
+    """
+    parts = max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def tables(held: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = held
+        part = ((keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65536) % np.uint64(parts)
+        by = np.argsort(part, kind="stable")
+        keys, counts, part = keys[by], counts[by], part[by].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([part[i]], pa.int32()), pa.array([pack_table(keys[i:j], counts[i:j])], pa.binary())], ["part", "data"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             raw, ends = utf8(batch.column(0))
             for a, b in row_blocks(ends, COUNTED):
                 data, _ = stream(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], order)
                 for at in range(0, len(data) - order, COUNTED):
-                    part = data[at : at + COUNTED + order]
+                    piece = data[at : at + COUNTED + order]
                     # Sequences that end in START belong to no text, or to two.
-                    held.append(tally(windows(part, order + 1)[part[order:] != START]))
+                    held.append(tally(windows(piece, order + 1)[piece[order:] != START]))
                     size += len(held[-1][0])
             if size > COUNTED // 2:
-                held = [tally(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
+                held = [merge(held)]
                 size = len(held[0][0])
                 if size > COUNTED // 4:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["key", "n"])
+                    yield from tables(held[0])
+                    held, size = [], 0
+        if size:
+            yield from tables(merge(held))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tables come sorted by part; those of a part are merged as they come."""
+        now, held, size = None, [], 0
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != now and held:
+                    yield from levels(*merge(held))
                     held, size = [], 0
+                now = part
+                held.append(unpack_table(data.as_py()))
+                size += len(held[-1][0])
+                if len(held) > 1 and size > 2 * len(held[0][0]) + COUNTED // 4:
+                    held = [merge(held)]
+                    size = len(held[0][0])
         if held:
-            keys, counts = tally(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-            for at in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)].view(np.int64)), pa.array(counts[at : at + (1 << 18)])], ["key", "n"])
+            yield from levels(*merge(held))
+
+    def levels(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(order, 0, -1):
+            if k < order:
+                keys, counts = tally(keys & np.uint64((1 << 8 * (k + 1)) - 1), counts)
+            context = keys >> np.uint64(8)
+            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            total = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))))
+            keep = counts >= least if k > 1 else np.ones(len(keys), bool)
+            key, n, t = keys[keep].view(np.int64), counts[keep], total[keep]
+            for at in range(0, len(key), 1 << 18):
+                cut = slice(at, at + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[cut]), k, np.int32)), pa.array(key[cut]), pa.array(n[cut]), pa.array(t[cut])], ["k", "key", "n", "total"])
 
-    return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    dealt = texts.mapInArrow(count, "part int, data binary").repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add, "k int, key bigint, n bigint, total bigint")
 
 
 class Table:
@@ -218,20 +278,20 @@ class Model:
         return out
 
 
-def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
-    """The model of all texts (one string column). At most nodes sequences of each length come to the driver."""
-    full = written(gather(texts, order))
-    total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, -(-total // nodes))
-    counts = []
-    for k in range(order + 1):
-        own = full.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")) if k < order else full
-        # A context has at most 255 successors, so its list is short.
-        kept = F.filter(F.collect_list(F.struct("key", "n")), lambda x: x["n"] >= least)
-        by = own.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), kept.alias("kept")).filter(F.size("kept") > 0)
-        rows = by.select("total", F.inline("kept")).toArrow()
-        counts.append(tuple(rows.column(c).to_numpy() for c in ("key", "n", "total")))
-    return Model(counts)
+def train(texts: DataFrame, positions: int, order: int = ORDER, nodes: int = NODES) -> Model:
+    """The model of all texts (one string column) with so many bytes and ends in all. At most nodes sequences of each length come to the driver."""
+    if not 2 <= order <= 6:
+        raise ValueError("contexts have 2 to 6 bytes")
+    least = max(1, -(-positions // nodes))
+    rows = written(gather(texts, order, least))
+    high = rows.filter("k > 1").toArrow()
+    k, key, n, total = (high.column(c).to_numpy() for c in ("k", "key", "n", "total"))
+    low = rows.filter("k = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    counts, pair = [(key[k == x], n[k == x], total[k == x]) for x in range(2, order + 1)], low.column("key").to_numpy().astype(np.int64)
+    found = low.column("n").to_numpy().astype(np.int64)
+    by_context, by_byte = np.bincount(pair >> 8, found, 256).astype(np.int64), np.bincount(pair & 255, found, 256).astype(np.int64)
+    kept, single = found >= least, np.flatnonzero(by_byte >= least)
+    return Model([(single, by_byte[single], np.full(len(single), by_byte.sum())), (pair[kept], found[kept], by_context[pair[kept] >> 8]), *counts])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -266,10 +326,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (remainder(key, folds) == 0).alias("held_out"))
     texts = rows.filter("NOT held_out").select(F.coalesce("text", F.lit("")).alias("text"))
-    model = spark.sparkContext.broadcast(train(texts, order, nodes))
+    n_docs, n_bytes = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()
+    model = spark.sparkContext.broadcast(train(texts, n_docs + n_bytes, order, nodes))
 
     words = written(count_words(texts))
-    n_docs = texts.count()
     n_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = n_words + n_docs, kinds + (n_docs > 0)
     divisor = tokens + 0.1 * (distinct + 1)

@@ -81,6 +81,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.langid import predict
+
+    return predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.warc import round_trip
 
@@ -88,6 +94,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_embedding_dedup, op4_simhash, op5_toxicity, op6_mixing, op7_packing, op8_sharding, op10_warc)
+    f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_embedding_dedup, op4_simhash, op5_toxicity, op6_mixing, op7_packing, op8_sharding, op9_language_id, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
