@@ -20,6 +20,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NULL, BOOLEAN, NUMBER, STRING, ARRAY, OBJECT = range(1, 7)
 TYPE_NAMES = {"null": NULL, "boolean": BOOLEAN, "number": NUMBER, "string": STRING, "array": ARRAY, "object": OBJECT}
@@ -104,7 +105,7 @@ def compare(a: Any, b: Any) -> int:
     return (x > y) - (x < y)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _binary_key(values: pd.Series) -> pd.Series:
     return values.map(lambda x: encode(json.loads(x)) if x is not None else None)
 

@@ -1,7 +1,7 @@
 """JSON selectors as Columns.
 
 A selector is checked on the driver and becomes one boolean Column of built-in expressions, so filters reach the scan. It
-works on typed columns or on one VARIANT column. Every condition has two values: a missing field meets none but
+works on typed columns or on one VARIANT column. Conditions are met or not: a missing field meets none but
 {$exists: false} and negations. In typed mode SQL NULL (and NaN) means missing; in VARIANT mode JSON null is a value.
 """
 
@@ -22,7 +22,19 @@ from quern.functions import collate
 
 COMBINERS = ("$and", "$or", "$nor", "$not")
 OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$exists", "$type", "$in", "$nin", "$all", "$size", "$elemMatch", "$allMatch", "$mod", "$regex", "$not", "$and", "$or", "$nor")
-TRUE, FALSE = F.lit(True), F.lit(False)
+
+
+def yes() -> Column:
+    return F.lit(True)
+
+
+def no() -> Column:
+    return F.lit(False)
+
+
+def negated(condition: Column) -> Column:
+    """True where the condition isn't met. Conditions may be null for not met: bare comparisons reach the scan as filters."""
+    return ~F.coalesce(condition, F.lit(False))
 
 
 def js_type(value: Any) -> str:
@@ -176,23 +188,23 @@ class Typed(Value):
         return self.column.isNotNull() & ~F.isnan(self.column) if self.floating else self.column.isNotNull()
 
     def is_type(self, kind: int) -> Column:
-        return self.exists() if kind == self.rank else FALSE
+        return self.exists() if kind == self.rank else no()
 
     def compare(self, op: str, x: Any) -> Column:
         x, other = collate.normalize(x), collate.rank(x)
         if other != self.rank:
-            return self.exists() if by_rank(op, self.rank, other) else FALSE
+            return self.exists() if by_rank(op, self.rank, other) else no()
         if other == collate.ARRAY:
             found = self.array_compare(op, x)
         elif other == collate.OBJECT:
             found = self.object_equal(x)
-            found = ~found if op == "$ne" else found if op in ("$eq", "$gte", "$lte") else FALSE
+            found = negated(found) & self.exists() if op == "$ne" else found if op in ("$eq", "$gte", "$lte") else no()
         elif isinstance(self.kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             found = self.time_compare(op, x)
         else:
             found = COMPARE[op](self.column, F.lit(x))
         # NaN is greater than every number to Spark, and missing here.
-        return F.coalesce(found & ~F.isnan(self.column) if self.floating and op in ("$gt", "$gte", "$ne") else found, FALSE)
+        return found & ~F.isnan(self.column) if self.floating and op in ("$gt", "$gte", "$ne") else found
 
     def array_compare(self, op: str, x: list) -> Column:
         kind = self.kind.elementType.simpleString()
@@ -202,7 +214,7 @@ class Typed(Value):
 
     def object_equal(self, x: dict) -> Column:
         if not isinstance(self.kind, T.StructType) or set(x) - set(self.kind.names):
-            return FALSE
+            return no()
         parts = []
         for name in self.kind.names:
             inner = self.get(name)
@@ -235,27 +247,30 @@ class Variant(Value):
         self.column = column
 
     def get(self, name: str) -> Value:
-        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-        return Variant(F.try_variant_get(self.column, f"$['{quoted}']", "variant"))
+        # Paths have no escapes, so a name is quoted with the mark that it doesn't hold.
+        if "'" in name and '"' in name:
+            raise QueryError(f"a field's name can't hold both kinds of quotation marks: {name}")
+        path = f'$["{name}"]' if "'" in name else f"$['{name}']"
+        return Variant(F.try_variant_get(self.column, path, "variant"))
 
     def exists(self) -> Column:
         return self.column.isNotNull()
 
     def is_type(self, kind: int) -> Column:
-        return F.coalesce(collate.variant_rank(self.column) == kind, FALSE)
+        return F.coalesce(collate.variant_rank(self.column) == kind, no())
 
     def compare(self, op: str, x: Any) -> Column:
         x, other = collate.normalize(x), collate.rank(x)
         mine = collate.variant_rank(self.column)
         if other in (collate.ARRAY, collate.OBJECT):
-            return F.coalesce(COMPARE[op](collate.binary_key(self.column), F.lit(collate.encode(x))), FALSE)
+            return COMPARE[op](collate.binary_key(self.column), F.lit(collate.encode(x)))
         if other == collate.NULL:
             same = F.lit(op in ("$eq", "$gte", "$lte"))
         else:
             kind = {collate.BOOLEAN: "boolean", collate.NUMBER: "double", collate.STRING: "string"}[other]
             same = COMPARE[op](F.try_variant_get(self.column, "$", kind), F.lit(float(x) if other == collate.NUMBER else x))
         different = F.lit(True) if op == "$ne" else F.lit(False) if op == "$eq" else mine > other if op in ("$gt", "$gte") else mine < other
-        return F.coalesce(F.when(mine == other, same).otherwise(different), FALSE) & self.exists()
+        return F.coalesce(F.when(mine == other, same).otherwise(different), no()) & self.exists()
 
     def number(self) -> Column:
         return F.when(self.is_type(collate.NUMBER), F.try_variant_get(self.column, "$", "double"))
@@ -294,72 +309,72 @@ class Compiler:
         return self.matches(selector, None)
 
     def matches(self, selector: dict, base: Value | None) -> Column:
-        """selector on the row (base None) or on an object."""
-        parts = []
+        """selector on the row (base None) or on an object; null counts as not met."""
+        parts: list[Column] = []
         for key, x in selector.items():
             if key in ("$and", "$or", "$nor"):
                 each = [self.matches(s, base) for s in x]
-                parts.append(reduce(lambda a, b: a & b, each, TRUE) if key == "$and" else self.any(each) if key == "$or" else ~self.any(each))
+                parts.append(reduce(lambda a, b: a & b, each, yes()) if key == "$and" else self.any(each) if key == "$or" else negated(self.any(each)))
             elif key == "$not":
-                parts.append(~self.matches(x, base))
+                parts.append(negated(self.matches(x, base)))
             elif key.startswith("$"):
                 parts.append(self.operator(key, x, base, is_id=False))
             else:
                 names = parse_path(key)
                 value = self.field(names) if base is None else reduce(lambda v, n: v.get(n) if v is not None else None, names, base)
                 parts.append(self.condition(x, value, names == ["_id"] and base is None))
-        return reduce(lambda a, b: a & b, parts, TRUE)
+        return reduce(lambda a, b: a & b, parts) if parts else yes()
 
     @staticmethod
     def any(parts: list[Column]) -> Column:
-        return reduce(lambda a, b: a | b, parts, FALSE)
+        return reduce(lambda a, b: a | b, parts, no())
 
     def condition(self, x: Any, value: Value | None, is_id: bool) -> Column:
         """What stands behind a field's name: operators, an object whose members are conditions, or a value to equal."""
         if is_operators(x):
-            return reduce(lambda a, b: a & b, [self.operator(op, y, value, is_id) for op, y in x.items()], TRUE)
+            return reduce(lambda a, b: a & b, [self.operator(op, y, value, is_id) for op, y in x.items()], yes())
         if isinstance(x, dict) and x:
-            return reduce(lambda a, b: a & b, [self.condition(y, value.get(n) if value is not None else None, False) for n, y in ((n, y) for k, y in x.items() for n in [k])], TRUE)
+            return reduce(lambda a, b: a & b, [self.condition(y, value.get(n) if value is not None else None, False) for n, y in x.items()])
         return self.operator("$eq", x, value, is_id)
 
     def operator(self, op: str, x: Any, value: Value | None, is_id: bool) -> Column:
         if op == "$not":
-            return ~(self.condition(x, value, is_id) if isinstance(x, dict) else self.operator("$eq", x, value, is_id))
+            return negated(self.condition(x, value, is_id) if isinstance(x, dict) else self.operator("$eq", x, value, is_id))
         if op in ("$and", "$or", "$nor"):
             each = [self.condition(y, value, is_id) for y in x]
-            return reduce(lambda a, b: a & b, each, TRUE) if op == "$and" else self.any(each) if op == "$or" else ~self.any(each)
+            return reduce(lambda a, b: a & b, each, yes()) if op == "$and" else self.any(each) if op == "$or" else negated(self.any(each))
         if op == "$exists":
-            found = value.exists() if value is not None else FALSE
+            found = value.exists() if value is not None else no()
             return found if x else ~found
         if value is None:
-            return FALSE
+            return no()
         if op in COMPARE:
             if is_id and not isinstance(x, str) and isinstance(value, Typed) and value.rank == collate.STRING:
                 # Bounds on the primary key that aren't strings don't follow the order of types.
-                return TRUE if op in ("$gt", "$gte", "$ne") else FALSE
+                return yes() if op in ("$gt", "$gte", "$ne") else no()
             return value.compare(op, x)
         if op == "$type":
             return value.is_type(collate.TYPE_NAMES[x])
         if op in ("$in", "$nin"):
             found = self.contained(value, x)
-            return found if op == "$in" else value.exists() & ~found
+            return found if op == "$in" else value.exists() & negated(found)
         if op == "$mod":
             n = value.number()
-            return F.coalesce((n == F.floor(n)) & (n % F.lit(float(x[0])) == F.lit(float(x[1]))), FALSE)
+            return (n == F.floor(n)) & (n % F.lit(float(x[0])) == F.lit(float(x[1])))
         if op == "$regex":
-            return F.coalesce(value.text().rlike(java_regex(x)), FALSE)
+            return value.text().rlike(java_regex(x))
         parts = value.elements()
         if parts is None:
-            return FALSE
+            return no()
         column, element = parts
         if op == "$size":
-            return F.coalesce(F.when(column.isNotNull(), F.size(column)) == int(x), FALSE)
+            return F.when(column.isNotNull(), F.size(column)) == int(x)
         if op == "$all":
-            return F.coalesce(column.isNotNull() & reduce(lambda a, b: a & b, [self.has(column, element, y) for y in x], TRUE), FALSE)
+            return reduce(lambda a, b: a & b, [self.has(column, element, y) for y in x], column.isNotNull())
         inner = lambda c: self.condition(x, element(c), False) if is_operators(x) else self.matches(x, element(c))
         if op == "$elemMatch":
-            return F.coalesce(F.exists(column, inner), FALSE)
-        return F.coalesce((F.size(column) > 0) & F.forall(column, inner), FALSE)
+            return F.exists(column, inner)
+        return (F.size(column) > 0) & F.forall(column, inner)
 
     @staticmethod
     def has(column: Column, element: Callable[[Column], Value], x: Any) -> Column:
@@ -369,11 +384,11 @@ class Compiler:
         """Whether the value, or an element of it if it's an array, equals one of x."""
         if isinstance(value, Typed) and value.rank in (collate.NUMBER, collate.STRING, collate.BOOLEAN) and not isinstance(value.kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             own = [y for y in x if collate.rank(y) == value.rank]
-            return F.coalesce(value.column.isin(own), FALSE) if own else FALSE
+            return value.column.isin(own) if own else no()
         found = self.any([value.compare("$eq", y) for y in x])
         if (parts := value.elements()) is not None:
             column, element = parts
-            found = found | F.coalesce(F.exists(column, lambda c: self.any([element(c).compare("$eq", y) for y in x])), FALSE)
+            found = found | F.exists(column, lambda c: self.any([element(c).compare("$eq", y) for y in x]))
         return found
 
 

@@ -91,9 +91,9 @@ def find_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(spark, sf_dir, "lineitem", {"l_partkey": {"$mod": [7, 3]}}, "l_orderkey", ["l_orderkey", "l_partkey"])
 
 
-@registered("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-d].* [0-9]*[13]$|e{2}')")
+@registered("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^(small|blue) .*[gt]$|dget$')")
 def find_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filtered(spark, sf_dir, "part", {"p_name": {"$regex": "^[a-d].* [0-9]*[13]$|e{2}"}}, "p_partkey", ["p_partkey", "p_name"])
+    return filtered(spark, sf_dir, "part", {"p_name": {"$regex": "^(small|blue) .*[gt]$|dget$"}}, "p_partkey", ["p_partkey", "p_name"])
 
 
 @registered("SELECT doc_id FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL")

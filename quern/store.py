@@ -21,11 +21,17 @@ from pyspark.sql import types as T
 
 from quern.errors import NotFound, QueryError
 
-ATTACHMENT = "struct<content_type:string,digest:string,length:bigint,revpos:int>"
-LOG = T.StructType.fromDDL(f"id string, gen int, hash string, path array<string>, deleted boolean, body string, attachments map<string,{ATTACHMENT}>, seq bigint")
-LOCAL = T.StructType.fromDDL("id string, rev int, body string, deleted boolean, at bigint")
-BLOBS = T.StructType.fromDDL("digest string, data binary")
-MARKS = T.StructType.fromDDL("id string, gen int, hash string, kind string")
+def struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
+
+
+STRING, INT, LONG, BOOL = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType()
+ATTACHMENT = struct(("content_type", STRING), ("digest", STRING), ("length", LONG), ("revpos", INT))
+ATTACHMENTS = T.MapType(STRING, ATTACHMENT)
+LOG = struct(("id", STRING), ("gen", INT), ("hash", STRING), ("path", T.ArrayType(STRING)), ("deleted", BOOL), ("body", STRING), ("attachments", ATTACHMENTS), ("seq", LONG))
+LOCAL = struct(("id", STRING), ("rev", INT), ("body", STRING), ("deleted", BOOL), ("at", LONG))
+BLOBS = struct(("digest", STRING), ("data", T.BinaryType()))
+WRITES = struct(("pos", INT), ("id", STRING), ("rev", STRING), ("deleted", BOOL), ("body", STRING), ("attachments", ATTACHMENTS), ("path", T.ArrayType(STRING)), ("force", BOOL), ("valid", BOOL))
 REVS_LIMIT = 1000
 
 
@@ -215,7 +221,7 @@ class DocStore:
         if blobs:
             known = self._table("blobs", BLOBS)
             self._append("blobs", self.spark.createDataFrame(blobs, BLOBS).dropDuplicates(["digest"]).join(known, "digest", "left_anti"))
-        return self.spark.createDataFrame(out, f"pos int, id string, rev string, deleted boolean, body string, attachments map<string,{ATTACHMENT}>, path array<string>, force boolean, valid boolean")
+        return self.spark.createDataFrame(out, WRITES)
 
     def _store_revisions(self, rows: DataFrame) -> DataFrame:
         """new_edits false: revisions as they are, with their ancestors; those that are there already change nothing."""
