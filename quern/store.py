@@ -370,7 +370,7 @@ class DocStore:
         log = self.log()
         kept = leaves(log).select("id", "gen", "hash", F.lit(True).alias("leaf"))
         new = log.join(kept, ["id", "gen", "hash"], "left")
-        bare = new.withColumn("body", F.when("leaf", F.col("body"))).withColumn("attachments", F.when("leaf", F.col("attachments"))).select(*LOG.names)
+        bare = new.withColumn("body", F.when(F.col("leaf"), F.col("body"))).withColumn("attachments", F.when(F.col("leaf"), F.col("attachments"))).select(*LOG.names)
         self._replace("log", bare)
         used = self.log().filter("attachments IS NOT NULL").select(F.explode(F.map_values("attachments"))).select("col.digest").distinct()
         if self._exists("blobs"):

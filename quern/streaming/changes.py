@@ -53,7 +53,7 @@ class Changes:
         doc_ids: Sequence[str] | None = None, selector: dict | None = None, filter: str | Column | None = None, query_params: dict | None = None, log: DataFrame | None = None,
     ) -> DataFrame:
         """Rows id, seq, changes (revisions), deleted, and doc and conflicts if asked for."""
-        if selector is not None and filter not in (None, "_selector"):
+        if selector is not None and filter is not None and not (isinstance(filter, str) and filter == "_selector"):
             raise QueryError("a selector can't be given with a filter")
         if style not in ("main_only", "all_docs"):
             raise QueryError(f"unknown style {style}")
