@@ -1,13 +1,13 @@
 """Quality rules with cutoffs whose false rejections are bounded by labelled texts.
 
 Each rule is a measure of a text that is high for bad ones: symbols, capitals and marks per word, repeated lines and
-word windows, word length. Its candidate cutoffs are the edges of fixed levels. In each stratum (language) the cutoffs of a
-rule are tested from the most lenient on: a cutoff is certified if the exact binomial test on the labelled good texts
-rejects a false rejection rate above the rule's share of the limit; the first that fails ends the sequence. Sequences
-share the allowed error probability equally over rules and strata (Bonferroni; within a sequence the fixed order needs
-no correction), so with that confidence no stratum loses more than the limit of its good texts. Of the certified
-cutoffs the most lenient takes effect that rejects nearly all bad texts that any of them does; without one the rule
-rests in that stratum. All labelled texts count; only their numbers per level are brought together.
+word windows, word length. Its candidate cutoffs are every STEP-th of fixed levels. The good labelled texts of a stratum
+(a language) bound a cutoff's false rejection rate from above, by the exact binomial (Clopper-Pearson) limit at the
+allowed error probability divided by all strata, rules and candidates (Bonferroni), so that all bounds hold at once and
+cutoffs may be chosen by looking at the data. They are chosen one by one: the cutoff that rejects most bad texts that
+are left, the most lenient one that rejects nearly as many, as long as the bounds of all chosen ones sum up to no more than the
+limit. With the stated confidence no stratum loses more than the limit of its good texts; where too few are labelled,
+a rule rests. All labelled texts that pass the base count; only their numbers per level are brought together.
 
 Defined cases: a null text has no words (and fails the base); a null language is a stratum of its own; a text whose
 stratum has no labels meets the base alone; labels without quality or without a text are ignored, repeated ones count
@@ -24,15 +24,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import broadcast_if_small, checkpointed, utf8
 
 RULES = ("symbols", "capitals", "marks", "dup_lines", "repeats", "word_length")
-#: A measure x has the level floor(8 * log2(1 + 1000 x)); at most 255.
-LEVELS = 256
+#: A measure x has the level floor(8 * log2(1 + 1000 x)); at most 255. Cutoffs lie at every eighth.
+LEVELS, STEP = 256, 8
 
 
 @dataclass
@@ -104,10 +104,8 @@ def measured(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def certified(k: int, n: int, rate: float, error: float) -> bool:
-    """Whether at most k of n would be seen with a probability of at most error if the true rate were rate (exact, binomial)."""
-    if n == 0 or k > n * rate:
-        return False
+def tail(k: int, n: int, rate: float) -> float:
+    """The probability of at most k of n, binomial, for a rate of at least k / n."""
     log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate)
     term = total = math.exp(log)
     for i in range(k, 0, -1):  # below the mean, terms only fall
@@ -115,61 +113,92 @@ def certified(k: int, n: int, rate: float, error: float) -> bool:
         total += term
         if term < total * 1e-15:
             break
-    return total <= error
+    return total
 
 
-def cutoff(good: np.ndarray, bad: np.ndarray, rate: float, error: float, share: float = 0.99) -> int:
-    """The lowest level that is rejected, LEVELS for none. good, bad: labelled texts at each level."""
-    n, lost, caught, passed = int(good.sum()), 0, 0, []
-    for x in range(LEVELS - 1, 0, -1):
-        lost, caught = lost + int(good[x]), caught + int(bad[x])
-        if not certified(lost, n, rate, error):
-            break
-        passed.append((x, caught))
-    most = passed[-1][1] if passed else 0
-    return next((x for x, c in passed if most and c >= share * most), LEVELS)
+def upper(k: int, n: int, error: float, limit: float) -> float:
+    """The exact upper confidence limit of a rate of which k in n were seen; 1 if it is above limit."""
+    if n == 0 or k >= n * limit or tail(k, n, limit) > error:
+        return 1.0
+    low, high = max(k / n, 1e-12), limit
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if tail(k, n, middle) > error else (low, middle)
+    return high
 
 
-def cutoffs(levels: DataFrame, labels: DataFrame, rate: float = 0.05, error: float = 0.05) -> DataFrame:
-    """(__q_stratum, __q_cuts): the certified cutoffs of each stratum. levels: doc_id, __q_stratum, __q_levels."""
-    known = labels.filter("quality IS NOT NULL").select("doc_id", F.col("quality").alias("__q_quality"))
-    met = levels.select("doc_id", "__q_stratum", "__q_levels").join(known, "doc_id")
-    single = met.select("__q_stratum", "__q_quality", F.posexplode("__q_levels").alias("rule", "level"))
-    counts = checkpointed(single.groupBy("__q_stratum", "rule", "level").agg(F.count(F.when(F.col("__q_quality") == 1, 1)).alias("good"), F.count(F.when(F.col("__q_quality") == 0, 1)).alias("bad")))
-    strata = counts.select("__q_stratum").distinct().count()
-    each, share = error / max(1, strata * len(RULES)), rate / len(RULES)
+def choose(good: np.ndarray, bad: np.ndarray, cuts: list[int], spent: float, rate: float, error: float, share: float = 0.99, least: float = 0.02) -> tuple[list[int], float]:
+    """One more cutoff, if any is worth it: cuts and the sum of their bounds. good, bad: texts by rule and level; bad only those left.
+
+    error is what each bound may miss by; LEVELS stands for no cutoff.
+    """
+    n, best = int(good[0].sum()), None
+    for r in (r for r in range(len(RULES)) if cuts[r] == LEVELS):
+        lost, caught = np.cumsum(good[r][::-1])[::-1], np.cumsum(bad[r][::-1])[::-1]
+        bounds = [(x, int(caught[x]), upper(int(lost[x]), n, error, rate - spent)) for x in range(LEVELS - STEP, 0, -STEP)]
+        allowed = [b for b in bounds if b[2] < 1]
+        most = max((c for _, c, _ in allowed), default=0)
+        if most and most >= least * bad[0].sum():
+            x, c, u = next(b for b in allowed if b[1] >= share * most)
+            if best is None or (c, -u) > (best[2], -best[3]):
+                best = (r, x, c, u)
+    if best is None:
+        return cuts, spent
+    return [best[1] if r == best[0] else c for r, c in enumerate(cuts)], spent + best[3]
+
+
+def stratum(lang: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("-"))
 
-    def choose(found: pd.DataFrame) -> pd.DataFrame:
-        cuts = []
-        for r in range(len(RULES)):
-            good, bad = np.zeros(LEVELS, np.int64), np.zeros(LEVELS, np.int64)
-            own = found[found["rule"] == r]
-            good[own["level"]], bad[own["level"]] = own["good"], own["bad"]
-            cuts.append(cutoff(good, bad, share, each))
-        return pd.DataFrame({"__q_stratum": found["__q_stratum"][:1], "__q_cuts": [cuts]})
 
-    # A group has at most a row for each rule and level.
-    return counts.groupBy("__q_stratum").applyInPandas(choose, "__q_stratum string, __q_cuts array<int>")
+def over(levels: str, cuts: str) -> Column:
+    """Whether any level reaches its cutoff."""
+    return F.exists(F.arrays_zip(F.col(levels).alias("x"), F.col(cuts).alias("y")), lambda z: z["x"] >= z["y"])
+
+
+def cutoffs(levels: DataFrame, labels: DataFrame, rate: float = 0.05, error: float = 0.05) -> DataFrame:
+    """(__q_stratum, __q_cuts): the cutoffs of each stratum. levels: doc_id and the columns of measured(), with __q_stratum."""
+    known = labels.filter("quality IS NOT NULL").select("doc_id", F.col("quality").alias("__q_quality"))
+    met = checkpointed(levels.filter("NOT __q_base_failed").select("doc_id", "__q_stratum", "__q_levels").join(known, "doc_id").drop("doc_id"))
+    state = checkpointed(met.select("__q_stratum").distinct().select("__q_stratum", F.array(*[F.lit(LEVELS)] * len(RULES)).alias("__q_cuts"), F.lit(0.0).alias("spent")))
+    each = error / max(1, state.count() * len(RULES) * (LEVELS // STEP))
+
+    def step(found: pd.DataFrame) -> pd.DataFrame:
+        good, bad = np.zeros((len(RULES), LEVELS), np.int64), np.zeros((len(RULES), LEVELS), np.int64)
+        good[found["rule"], found["level"]], bad[found["rule"], found["level"]] = found["good"], found["bad"]
+        cuts, spent = choose(good, bad, list(found["__q_cuts"].iloc[0]), float(found["spent"].iloc[0]), rate, each)
+        return pd.DataFrame({"__q_stratum": found["__q_stratum"][:1], "__q_cuts": [cuts], "spent": [spent]})
+
+    active = 0
+    for _ in RULES:
+        left = (F.col("__q_quality") == 0) & ~over("__q_levels", "__q_cuts")
+        single = met.join(broadcast_if_small(state), "__q_stratum").select("__q_stratum", (F.col("__q_quality") == 1).alias("good"), left.alias("bad"), F.posexplode("__q_levels").alias("rule", "level"))
+        counts = single.groupBy("__q_stratum", "rule", "level").agg(F.count_if("good").alias("good"), F.count_if("bad").alias("bad"))
+        # A group has at most a row for each rule and level.
+        state = checkpointed(counts.join(state, "__q_stratum").groupBy("__q_stratum").applyInPandas(step, "__q_stratum string, __q_cuts array<int>, spent double"))
+        now = state.agg(F.coalesce(F.sum(F.size(F.filter("__q_cuts", lambda c: c < LEVELS))), F.lit(0))).first()[0]
+        if now == active:
+            break
+        active = now
+    return state.select("__q_stratum", "__q_cuts")
 
 
 def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """rows (measured, with __q_stratum) with __q_kept."""
-    named = broadcast_if_small(checkpointed(cuts)).withColumnRenamed("__q_stratum", "__q_of")
-    met = rows.join(named, F.col("__q_stratum").eqNullSafe(F.col("__q_of")), "left").drop("__q_of")
-    over = F.exists(F.arrays_zip(F.col("__q_levels").alias("x"), F.col("__q_cuts").alias("y")), lambda z: z["x"] >= z["y"])
-    return met.withColumn("__q_kept", ~F.col("__q_base_failed") & ~F.coalesce(over, F.lit(False))).drop("__q_cuts")
+    met = rows.join(broadcast_if_small(cuts), "__q_stratum", "left")
+    return met.withColumn("__q_kept", ~F.col("__q_base_failed") & ~F.coalesce(over("__q_levels", "__q_cuts"), F.lit(False))).drop("__q_cuts")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, rate: float = 0.05, error: float = 0.05) -> DataFrame:
     """doc_id, the five base measures, base_failed and kept of each document."""
-    rows = checkpointed(measured(docs.select("doc_id", F.col("lang").cast("string").alias("__q_stratum"), "text"), keep_text=False))
+    rows = checkpointed(measured(docs.select("doc_id", stratum("lang").alias("__q_stratum"), "text"), keep_text=False))
     kept = judged(rows, cutoffs(rows, labels, rate, error))
     return kept.select("doc_id", *(F.col(n).alias(n.removeprefix("__q_")) for n, _ in ADDED[:-1]), F.col("__q_kept").alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, rate: float = 0.05, error: float = 0.05) -> DataFrame:
     """The documents that are kept, with the columns of docs. Texts are read twice and not shuffled."""
-    levels = measured(docs.select("doc_id", F.col("lang").cast("string").alias("__q_stratum"), "text"), keep_text=False)
+    levels = measured(docs.select("doc_id", stratum("lang").alias("__q_stratum"), "text"), keep_text=False)
     cuts = cutoffs(levels, labels, rate, error)
-    rows = measured(docs.withColumn("__q_stratum", F.col("lang").cast("string")))
+    rows = measured(docs.withColumn("__q_stratum", stratum("lang")))
     return judged(rows, cuts).filter("__q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -185,18 +185,19 @@ def test_binomial():
 
     for k, n, p in ((0, 50, 0.05), (3, 200, 0.05), (7, 100, 0.2)):
         exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-        assert quality.certified(k, n, p, exact * 1.0001) and not quality.certified(k, n, p, exact * 0.9999)
-    assert not quality.certified(0, 0, 0.1, 0.5)
-
-
-def test_certified_cutoffs_hold():
-    """With random measures that say nothing, a certified cutoff loses more than its rate in few trials."""
-    draw, wrong = np.random.default_rng(1), 0
-    for _ in range(200):
-        good = np.bincount(draw.integers(1, 200, 500), minlength=quality.LEVELS)
-        x = quality.cutoff(good, np.bincount(draw.integers(1, 200, 500), minlength=quality.LEVELS), 0.05, 0.05)
-        wrong += (200 - x) / 199 > 0.05 if x < quality.LEVELS else 0
-    assert wrong <= 20
+        assert quality.tail(k, n, p) == pytest.approx(exact) and quality.upper(k, n, exact, 0.9) == pytest.approx(p, rel=1e-6)
+    assert quality.upper(0, 0, 0.05, 0.5) == quality.upper(5, 10, 0.05, 0.5) == 1
+
+
+def test_bounds_hold():
+    """With random measures that say nothing, the chosen cutoffs lose more than the rate in few trials."""
+    draw, wrong, none = np.random.default_rng(1), 0, [quality.LEVELS] * len(quality.RULES)
+    for _ in range(100):
+        good, bad = (np.stack([np.bincount(draw.integers(1, 200, 2000), minlength=quality.LEVELS) for _ in quality.RULES]) for _ in range(2))
+        cuts, spent = quality.choose(good, bad, none, 0.0, 0.05, 0.05 / (6 * 32))
+        wrong += sum(max(0, 200 - c) / 199 for c in cuts) > 0.05
+        assert spent <= 0.05
+    assert wrong <= 5
 
 
 def test_quality_of_nothing(spark, nothing):
