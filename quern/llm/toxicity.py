@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import remainder
+from quern.llm.common import checkpointed, remainder
 
 #: Labelled rows of a class that are learnt from, and entries of the lexicon, at most.
 SAMPLE, ENTRIES = 20_000, 2_000
@@ -130,11 +130,21 @@ class Lexicon:
         return float(1 / (1 + math.exp(-max(-500.0, min(500.0, beta[0] + float(beta[1:] @ x))))))
 
 
-def select(counts: list[tuple[str, int, int]], n_neg: int, n_pos: int, entries: int = ENTRIES, least_odds: float = 2.5) -> dict[str, float]:
-    """The lexicon from (candidate, negative texts, positive texts). Of nested candidates the shortest that is as telling stays, or a longer one that explains it."""
+def evidence(neg: int, pos: int, n_neg: int, n_pos: int) -> float:
+    """The log likelihood ratio of a candidate's counts against chance."""
+    share = n_pos / (n_pos + n_neg)
+    return 2 * sum(x * math.log(x / (e * (neg + pos))) for x, e in ((pos, share), (neg, 1 - share)) if x)
+
+
+def select(counts: list[tuple[str, int, int]], n_neg: int, n_pos: int, entries: int = ENTRIES, least_odds: float = 2.5, least_evidence: float = 20) -> dict[str, float]:
+    """The lexicon from (candidate, negative texts, positive texts): what is telling and not by chance.
+
+    Of nested candidates the shortest that is as telling stays, or a longer one that explains it.
+    """
     weights = {c: math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1)) for c, n, p in counts}
     seen = {c: p for c, _, p in counts}
-    telling = {c: w for c, w in weights.items() if w >= least_odds and seen[c] >= 3}
+    strong = {c: evidence(n, p, n_neg, n_pos) >= least_evidence for c, n, p in counts}
+    telling = {c: w for c, w in weights.items() if w >= least_odds and strong[c]}
     chosen: dict[str, float] = {}
     for c in sorted(telling, key=lambda c: (len(c), c)):
         inner = [c[:n] for n in STEMS if n < len(c)]
@@ -167,8 +177,9 @@ def logistic(x: np.ndarray, y: np.ndarray, offset: float, ridge: float = 1e-2) -
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE) -> Lexicon:
     """A lexicon and its score from labelled rows whose crc32 of doc_id isn't divisible by folds; docs: doc_id, text."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter(remainder("doc_id", folds) != 0)
-    # Labels of documents that aren't there would take up the sample.
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Copies of a text count once, or their words would seem telling; labels of documents that aren't there don't count.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    known = checkpointed(known.join(texts, "doc_id").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")))
     chosen: dict[object, int] = {}
     there = {int(k): n for k, n in known.groupBy("toxic").count().collect() if k in (0, 1)}
     for y in there:
