@@ -63,3 +63,11 @@ def next_page(df: DataFrame, last: Any, size: int, id_col: str = "_id") -> DataF
     """The page behind the key last (None for the first), without counting what came before."""
     column = F.col(f"`{id_col}`")
     return (df.filter(column > F.lit(last)) if last is not None else df).orderBy(column).limit(size)
+
+
+def envelope(rows: DataFrame, total_rows: int | None = None, skip: int = 0, update_seq: int | None = None) -> dict:
+    """A small result as a dict: rows, with total_rows and offset unless it is reduced (total_rows None)."""
+    out: dict = {} if total_rows is None else {"total_rows": total_rows, "offset": skip}
+    if update_seq is not None:
+        out["update_seq"] = update_seq
+    return out | {"rows": [r.asDict(recursive=True) for r in rows.collect()]}

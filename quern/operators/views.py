@@ -247,6 +247,11 @@ class Views:
         self.df, self.folder, self.id_col = df, folder, id_col
         self.specs: dict[str, ViewSpec] = {}
         self.version: dict[str, int] = {}
+        self.listeners: list[Callable[[dict], None]] = []
+
+    def on_indexing(self, listener: Callable[[dict], None]) -> None:
+        """Tell the listener of each refresh: the view's name and version."""
+        self.listeners.append(listener)
 
     def define(self, name: str, spec: ViewSpec) -> None:
         self.specs[name] = spec
@@ -257,6 +262,8 @@ class Views:
         rows = map_rows(self.df(), self.specs[name], self.id_col)
         rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id").write.mode("overwrite").parquet(f"{self.folder}/{name}/{new}")
         self.version[name] = new
+        for listener in self.listeners:
+            listener({"view": name, "version": new})
 
     def query(self, name: str, stale: str | None = None, **options: Any) -> DataFrame:
         """stale: 'ok' reads what is there, 'update_after' refreshes afterwards."""

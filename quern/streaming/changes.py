@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.errors import QueryError
 from quern.operators.find import number
+from quern.operators.views import ViewSpec
 from quern.plans.selector import compile_selector
 from quern.store import DocStore, leaves, rev, winners
 
@@ -50,9 +52,12 @@ class Changes:
 
     def changes(
         self, since: int | str = 0, limit: int | None = None, descending: bool = False, include_docs: bool = False, conflicts: bool = False, style: str = "main_only",
-        doc_ids: Sequence[str] | None = None, selector: dict | None = None, filter: str | Column | None = None, query_params: dict | None = None, log: DataFrame | None = None,
+        doc_ids: Sequence[str] | None = None, selector: dict | None = None, filter: str | Column | None = None, query_params: dict | None = None, view: ViewSpec | None = None, log: DataFrame | None = None,
     ) -> DataFrame:
-        """Rows id, seq, changes (revisions), deleted, and doc and conflicts if asked for."""
+        """Rows id, seq, changes (revisions), deleted, and doc and conflicts if asked for.
+
+        The filter '_view' passes documents of which the view emits a row.
+        """
         if selector is not None and filter is not None and not (isinstance(filter, str) and filter == "_selector"):
             raise QueryError("a selector can't be given with a filter")
         if style not in ("main_only", "all_docs"):
@@ -64,6 +69,10 @@ class Changes:
             rows = rows.filter(F.col("id").isin(list(doc_ids)))
         if selector is not None:
             rows = rows.filter(compile_selector(rows, selector, "id", "doc"))
+        if isinstance(filter, str) and filter == "_view":
+            if view is None:
+                raise QueryError("the filter _view needs a view", "bad_request")
+            filter = reduce(lambda a, b: a | b, [F.coalesce(e.when, F.lit(False)) if e.when is not None else F.lit(True) for e in view.emits])
         if isinstance(filter, str) and filter not in ("_selector", "_doc_ids"):
             if filter not in self.filters:
                 raise QueryError(f"no filter {filter}", "not_found", 404)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from quern.errors import QueryError
-from quern.operators.alldocs import all_docs, next_page, prefix
+from quern.operators.alldocs import all_docs, envelope, next_page, prefix
 from quern.queries import ORACLE_SQL, QUERIES
 from quern.sources.adapters import json_lines, memory, open_collection, write_json_lines
 
@@ -47,6 +47,7 @@ def test_all_docs(spark):
     assert [(r["_id"], r["__error"]) for r in rows] == [("b", None), ("x", "not_found"), ("a", None), ("b", None)]
     assert ids(all_docs(df, keys=["b", "a"], descending=True)) == ["a", "b"] and ids(all_docs(df, keys=["b", "a", "c"], skip=1, limit=1)) == ["a"]
     assert ids(prefix(df, "a")) == ["a", "ab"] and ids(next_page(df, None, 2)) == ["a", "ab"] and ids(next_page(df, "ab", 2)) == ["b", "c"]
+    assert envelope(all_docs(df, skip=3), 4, 3, update_seq=9) == {"total_rows": 4, "offset": 3, "update_seq": 9, "rows": [{"_id": "c"}]}
     with pytest.raises(QueryError):
         all_docs(df, keys=["a"], startkey="b")
 

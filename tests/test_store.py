@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.errors import NotFound, QueryError
 from quern.operators.replicate import backoff, merge, replicate, replication_id, revs_diff, same_state, stem, sync
+from quern.operators.views import Emit, ViewSpec
 from quern.store import DocStore, leaves, winners
 from quern.streaming.changes import Changes
 
@@ -138,6 +139,8 @@ def test_changes(store, tmp_path):
     assert rows(selector={"n": {"$gt": 2}}) == [("d3", 4), ("d1", 5)] and rows(doc_ids=["d2"]) == [("d2", 3)]
     feed.filter("big", lambda p: F.try_variant_get("doc", "$.n", "int") >= p["least"])
     assert rows(filter="big", query_params={"least": 3}) == [("d3", 4), ("d1", 5)]
+    view = ViewSpec([Emit(F.col("id"), None, F.try_variant_get("doc", "$.n", "int") == 2)])
+    assert rows(filter="_view", view=view) == [("d2", 3)]
     with pytest.raises(QueryError):
         feed.changes(filter="none")
     with pytest.raises(QueryError):

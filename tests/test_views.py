@@ -93,7 +93,8 @@ def test_emit_many(numbers):
 
 def test_stale(spark, tmp_path):
     docs = [spark.createDataFrame([("1", "x")], "_id string, k string")]
-    views = Views(lambda: docs[-1], str(tmp_path))
+    views, seen = Views(lambda: docs[-1], str(tmp_path)), []
+    views.on_indexing(seen.append)
     views.define("v", ViewSpec([Emit(F.col("k"))], "_count"))
     total = lambda **o: views.query("v", **o).first()["value"]
     assert total() == 1
@@ -102,4 +103,4 @@ def test_stale(spark, tmp_path):
     with pytest.raises(NotFound):
         views.query("w")
     del views.specs["v"]
-    assert views.cleanup() == ["v"]
+    assert views.cleanup() == ["v"] and seen == [{"view": "v", "version": 1}, {"view": "v", "version": 2}]
