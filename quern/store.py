@@ -178,16 +178,25 @@ class DocStore:
         named = revision_hash(parent, F.col("deleted"), F.concat_ws("|", "body", F.to_json("attachments"))) if self.deterministic else F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
         made = made.withColumn("hash", named).withColumn("path", F.slice(F.concat(F.array("hash"), F.col("base")), 1, self.revs_limit))
         held = self._held(made)
-        taken = held.filter("ok")
-        start = self.update_seq()
-        numbered = taken.withColumn("seq", F.lit(start) + F.row_number().over(Window.orderBy("pos")))
-        self._append("log", numbered.select(*LOG.names))
+        self._append("log", self._numbered(held.filter("ok")).select(*LOG.names))
         if self.auto_compaction:
             self.compact()
         error = F.when(~F.col("valid"), "bad_request").when(~F.col("ok"), "conflict")
         return held.select("pos", "id", F.when(F.col("ok"), rev()).alias("rev"), "ok", error.alias("error")).orderBy("pos")
 
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        """rows with the sequences that follow the last one, in the order of pos: numbered in many parts side by side."""
+        ranged = rows.repartitionByRange("pos").withColumn("__part", F.spark_partition_id())
+        held = self._held(ranged)
+        counts = held.groupBy("__part").agg(F.count("*").alias("n"))
+        # One row per part is left here.
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+        nth = F.row_number().over(Window.partitionBy("__part").orderBy("pos"))
+        return held.join(starts, "__part").withColumn("seq", F.lit(self.update_seq()) + F.col("__start") + nth)
+
     def _held(self, rows: DataFrame) -> DataFrame:
+        """rows, written down once, so that all that follows sees the same."""
         path = f"{self.folder}/.batch-{uuid.uuid4().hex}"
         rows.write.parquet(path)
         return self.spark.read.parquet(path)
@@ -229,8 +238,7 @@ class DocStore:
         made = rows.withColumn("gen", gen).withColumn("hash", F.regexp_extract("rev", "^[0-9]+-(.*)$", 1)).withColumn("path", F.slice("path", 1, self.revs_limit))
         new = made.dropDuplicates(["id", "gen", "hash"]).join(self.log().select("id", "gen", "hash"), ["id", "gen", "hash"], "left_anti")
         held = self._held(new)
-        start = self.update_seq()
-        self._append("log", held.withColumn("seq", F.lit(start) + F.row_number().over(Window.orderBy("pos"))).select(*LOG.names))
+        self._append("log", self._numbered(held).select(*LOG.names))
         return held.select("pos", "id", "rev", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
 
     def put(self, doc: dict, force: bool = False) -> dict:

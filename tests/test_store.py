@@ -202,7 +202,7 @@ def test_random_actions_converge(spark, tmp_path):
 
     draw = random.Random(5)
     stores = [DocStore(spark, str(tmp_path / n)) for n in "xy"]
-    for _ in range(12):
+    for _ in range(8):
         store = draw.choice(stores)
         id_ = f"d{draw.randrange(3)}"
         try:
