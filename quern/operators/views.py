@@ -13,9 +13,11 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.errors import NotFound, QueryError
 from quern.operators.alldocs import UNSET, page
@@ -182,21 +184,42 @@ def element_wise(rows: DataFrame, name: str) -> DataFrame:
 
 
 def custom(rows: DataFrame, reducer: Callable[[list, list, bool], Any], reduce_type: str) -> DataFrame:
-    """A Python reducer of (keys, values, rereduce=False), keys being [key, id] pairs in order. One that raises gives null."""
-    packed = rows.withColumn("__group_key", F.struct(F.col("__group").alias("g"))).withColumn("__text", F.to_json("__group_key"))
-    group = packed.schema["__group"].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["__order", "id"], kind="stable")
-        try:
-            value = reducer(list(map(list, zip(frame["key"], frame["id"], strict=True))), list(frame["value"]), False)
-        except Exception:  # noqa: BLE001  the group's row stays
-            value = None
-        return pd.DataFrame({"__text": frame["__text"].iloc[:1], "value": [value]})
-
-    # Sorting by rank keeps the order of the engine for any type of key.
-    ordered = packed.withColumn("__order", F.to_json(F.struct("key")) if isinstance(rows.schema["key"].dataType, T.StructType) else F.col("key"))
-    out = ordered.select("__text", "__order", "id", "key", "value").groupBy("__text").applyInPandas(run, f"__text string, value {reduce_type}")
+    """A Python reducer of (keys, values, rereduce=False), keys being [key, id] pairs in order. One that raises gives null.
+
+    Rows are dealt by group and sorted once; a task then walks through many groups of a batch, holding one at a time.
+    """
+    group = rows.schema["__group"].dataType.simpleString()
+    made = to_arrow_type(T._parse_datatype_string(reduce_type))
+    text = rows.withColumn("__text", F.to_json(F.struct(F.col("__group").alias("g"))))
+    dealt = text.select("__text", "key", "id", "value").repartition("__text").sortWithinPartitions("__text", "key", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, values = None, [], []
+
+        def finish() -> tuple[str, Any]:
+            try:
+                return now, reducer(keys, values, False)
+            except Exception:  # noqa: BLE001  the group's row stays
+                return now, None
+
+        def batch_of(out: list[tuple[str, Any]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([v for _, v in out], made)], ["__text", "value"])
+
+        for batch in batches:
+            out = []
+            for name, key, id_, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != now:
+                    if keys:
+                        out.append(finish())
+                    now, keys, values = name, [], []
+                keys.append([list(key.values()) if isinstance(key, dict) else key, id_])
+                values.append(value)
+            if out:
+                yield batch_of(out)
+        if keys:
+            yield batch_of([finish()])
+
+    out = dealt.mapInArrow(run, f"__text string, value {reduce_type}")
     return out.select(F.from_json("__text", f"struct<g:{group}>")["g"].alias("key"), "value")
 
 
