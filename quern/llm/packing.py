@@ -31,6 +31,8 @@ from quern.llm.common import checkpointed
 
 #: White space next to a space: there the text can't be divided at spaces alone.
 RAGGED = re.compile(r" \s|\s ")
+#: A space between two other characters, at which any text can be divided; texts longer than LONG characters are.
+SAFE, LONG = re.compile(r"(?<=\S) (?=\S)"), 1 << 20
 #: Words whose ids a worker keeps; beyond that it starts anew. Only speed depends on it.
 CACHED = 1_000_000
 
@@ -59,12 +61,24 @@ class Encoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
+        return self.part(text) if len(text) <= LONG else b"".join(map(self.part, divided(text)))
+
+    def part(self, text: str) -> bytes:
         if RAGGED.search(text):
             return np.array(self.whole(text), "<u4").tobytes()
         first, *rest = text.split(" ")
         return np.array(self.whole(first), "<u4").tobytes() + b"".join(map(self.__getitem__, rest))
 
 
+def divided(text: str, size: int = LONG) -> Iterator[str]:
+    """Parts of about size characters whose ids, one after another, are those of the text."""
+    at = 0
+    while len(text) - at > size and (found := SAFE.search(text, at + size)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 _encoders: dict[str, Encoder] = {}
 
 

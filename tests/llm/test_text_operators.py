@@ -393,6 +393,13 @@ def test_packing(spark):
     assert (by.cumsum() - out.length == out.offset).all() and by.sum().max() <= 256 and by.ngroups <= 1.02 * out.length.sum() / 256 + 1
 
 
+def test_divided_texts():
+    encode = packing.public_encoder()
+    for text in (prose(1, 300), "a  b \n c" * 200 + prose(2, 100), "x" * 500, " lead " * 80):
+        parts = list(packing.divided(text, 40))
+        assert "".join(parts) == text and b"".join(map(encode.part, parts)) == np.array(encode.whole(text), "<u4").tobytes()
+
+
 def test_packing_of_nothing(nothing):
     assert packing.pack(nothing).count() == 0
 
