@@ -42,7 +42,9 @@ START, END = 0xFE, 0xFF
 #: Bytes that can follow a context: all but START.
 ALPHABET = 255
 #: Positions that are counted or scored at a time.
-COUNTED, SCORED = 1 << 23, 1 << 18
+COUNTED, SCORED = 1 << 20, 1 << 18
+#: Counted sequences that a task holds; beyond that it sends them on.
+HELD = 1 << 21
 #: An odd factor spreads keys over 64 bits, and different keys stay different.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,12 +130,12 @@ def gather(texts: DataFrame, order: int, least: int) -> DataFrame:
                     # Sequences that end in START belong to no text, or to two.
                     held.append(tally(windows(piece, order + 1)[piece[order:] != START]))
                     size += len(held[-1][0])
-            if size > COUNTED // 2:
-                held = [merge(held)]
-                size = len(held[0][0])
-                if size > COUNTED // 4:
-                    yield from tables(held[0])
-                    held, size = [], 0
+                    if size > HELD:
+                        held = [merge(held)]
+                        size = len(held[0][0])
+                        if size > HELD // 2:
+                            yield from tables(held[0])
+                            held, size = [], 0
         if size:
             yield from tables(merge(held))
 
@@ -148,7 +150,7 @@ def gather(texts: DataFrame, order: int, least: int) -> DataFrame:
                 now = part
                 held.append(unpack_table(data.as_py()))
                 size += len(held[-1][0])
-                if len(held) > 1 and size > 2 * len(held[0][0]) + COUNTED // 4:
+                if len(held) > 1 and size > 2 * len(held[0][0]) + HELD // 4:
                     held = [merge(held)]
                     size = len(held[0][0])
         if held:
@@ -310,7 +312,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             view, at = memoryview(raw), ends.tolist()
             for i, j in zip(at, at[1:], strict=False):
                 held.update(bytes(view[i:j]).lower().split())
-                if len(held) > 1_000_000:
+                if len(held) > 200_000:
                     yield from rows()
                     held.clear()
         yield from rows()
