@@ -6,10 +6,13 @@ coded in the longest known context: with the estimate of PPM's method D, a conte
 byte seen c times (2c - 1) / 2n and the escape q / 2n; after an escape the next shorter context codes, leaving out all
 bytes of the longer one (symbol exclusion), down to equal shares of the bytes never seen.
 
-The counts are complete, but the model must fit each worker: it keeps the byte sequences of each length with at least a
-1/NODES share of all training bytes, so at most NODES of each length, however large the corpus is. What a context saw
-beyond the sequences kept counts towards its escape. As a longer sequence never outnumbers its end, all that a kept
-context knows its shorter ones know too; what an escape costs, given what is left out, is then a number per context.
+The model keeps every sequence it counted and grows with the corpus, so no worker holds all of it. It lies in the shared
+folder in parts, dealt by the last two bytes of the context: a part with the counts of orders 0 and 1, which are few, is
+all that a sequence dealt to it can be scored with. Texts are laid down in blocks; each block sends its distinct
+sequences to the parts, gets their scores back and adds them up over its texts. A caller may give nodes; then only
+sequences with at least a 1/nodes share of all training bytes are kept, and what a context saw beyond them counts
+towards its escape. As a longer sequence never outnumbers its end, all that a kept context knows its shorter ones know
+too; what an escape costs, given what is left out, is then a number per context.
 
 The base score is that of single words. Word counts are complete as well; words with at least a 1/WORDS share of all
 training tokens (at most WORDS of them) are scored where the text is read, the others by a join with the counts.
@@ -31,20 +34,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import remainder, row_blocks, shared_dir, utf8
+from quern.llm.common import map_arrow, remainder, row_blocks, shared_dir, utf8
 
 #: Longest context in bytes; sequences have one byte more.
 ORDER = 6
-#: Sequences of each length that the model keeps at most, and words that are scored without a join at most.
-NODES, WORDS = 1 << 21, 1 << 20
+#: Words that are scored without a join at most.
+WORDS = 1 << 20
 #: No UTF-8 text holds these bytes: they stand before its start and at its end.
 START, END = 0xFE, 0xFF
 #: Bytes that can follow a context: all but START.
 ALPHABET = 255
-#: Positions that are counted or scored at a time.
-COUNTED, SCORED = 1 << 20, 1 << 18
+#: Positions that are counted or scored at a time, and bytes of the texts that ask for scores together.
+COUNTED, SCORED, BLOCK = 1 << 20, 1 << 18, 1 << 23
 #: Counted sequences that a task holds; beyond that it sends them on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: An odd factor spreads keys over 64 bits, and different keys stay different.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,6 +59,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    sc, files = df.sparkSession.sparkContext, df.inputFiles()
+    if files:
+        path = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stream(raw: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts with order START bytes before and one END behind each, and where each one's first START is."""
     view, at, start, end = memoryview(raw), ends.tolist(), bytes([START]) * order, bytes([END])
@@ -101,23 +112,54 @@ def merge(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return tables[0] if len(tables) == 1 else tally(np.concatenate([k for k, _ in tables]), np.concatenate([n for _, n in tables]))
 
 
-def gather(texts: DataFrame, order: int, least: int) -> DataFrame:
-    """(k, key, n, total): the sequences of k + 1 bytes that occur at least so often, their counts and those of their contexts.
+def pack_text(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack_text(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8)
+
+
+def pack_scores(scores: np.ndarray) -> bytes:
+    """Single precision, byte by byte of all numbers, as the first ones hardly vary."""
+    return pa.compress(scores.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack_scores(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<f4")[:, 0]
+
+
+def dealt(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The keys and counts of each part that has any; what parts a key is told by the last two bytes of its context."""
+    part = ((keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65536) % np.uint64(parts)
+    by = np.argsort(part, kind="stable")
+    keys, counts, part = keys[by], counts[by], part[by].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.empty(0, np.int64)
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=False):
+        yield int(part[i]), keys[i:j], counts[i:j]
+
+
+def sequences(data: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """The sequences of order + 1 bytes in a stream, some at a time; those that end in START belong to no text, or to two."""
+    for at in range(0, len(data) - order, COUNTED):
+        piece = data[at : at + COUNTED + order]
+        yield windows(piece, order + 1)[piece[order:] != START]
+
 
-    Each task counts its sequences of order + 1 bytes and sends them on as compressed tables, dealt by the last two bytes
-    of the context, so that whoever gets them can tell all orders from 2 on by itself. Of order 1 it has parts: those
-    rows (k = 1) come whole, without total, and are to be added up; there are at most 65,536 different ones.
+def parts_of(texts: DataFrame) -> int:
+    return max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def counted(texts: DataFrame, order: int, parts: int) -> DataFrame:
+    """(part, data): all sequences of order + 1 bytes and their counts, in packed tables of which no two share a sequence.
+
+    Each task counts its sequences and sends them on as compressed tables, dealt by the last two bytes of the context, so
+    that whoever gets them can tell all orders from 2 on by itself.
     """
-    parts = max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def tables(held: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, counts = held
-        part = ((keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65536) % np.uint64(parts)
-        by = np.argsort(part, kind="stable")
-        keys, counts, part = keys[by], counts[by], part[by].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([part[i]], pa.int32()), pa.array([pack_table(keys[i:j], counts[i:j])], pa.binary())], ["part", "data"])
+        for part, keys, counts in dealt(*held, parts):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack_table(keys, counts)], pa.binary())], ["part", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -125,10 +167,8 @@ def gather(texts: DataFrame, order: int, least: int) -> DataFrame:
             raw, ends = utf8(batch.column(0))
             for a, b in row_blocks(ends, COUNTED):
                 data, _ = stream(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], order)
-                for at in range(0, len(data) - order, COUNTED):
-                    piece = data[at : at + COUNTED + order]
-                    # Sequences that end in START belong to no text, or to two.
-                    held.append(tally(windows(piece, order + 1)[piece[order:] != START]))
+                for keys in sequences(data, order):
+                    held.append(tally(keys))
                     size += len(held[-1][0])
                     if size > HELD:
                         held = [merge(held)]
@@ -142,10 +182,17 @@ def gather(texts: DataFrame, order: int, least: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The tables come sorted by part; those of a part are merged as they come."""
         now, held, size = None, [], 0
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            keys, counts = merge(held)
+            for at in range(0, len(keys), 1 << 20):
+                data = pack_table(keys[at : at + (1 << 20)], counts[at : at + (1 << 20)])
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if part != now and held:
-                    yield from levels(*merge(held))
+                    yield from merged()
                     held, size = [], 0
                 now = part
                 held.append(unpack_table(data.as_py()))
@@ -154,23 +201,42 @@ def gather(texts: DataFrame, order: int, least: int) -> DataFrame:
                     held = [merge(held)]
                     size = len(held[0][0])
         if held:
-            yield from levels(*merge(held))
+            yield from merged()
 
-    def levels(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(order, 0, -1):
-            if k < order:
-                keys, counts = tally(keys & np.uint64((1 << 8 * (k + 1)) - 1), counts)
-            context = keys >> np.uint64(8)
-            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            total = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))))
-            keep = counts >= least if k > 1 else np.ones(len(keys), bool)
-            key, n, t = keys[keep].view(np.int64), counts[keep], total[keep]
-            for at in range(0, len(key), 1 << 18):
-                cut = slice(at, at + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[cut]), k, np.int32)), pa.array(key[cut]), pa.array(n[cut]), pa.array(t[cut])], ["k", "key", "n", "total"])
+    sent = texts.mapInArrow(count, "part int, data binary").repartition(parts, "part").sortWithinPartitions("part")
+    return sent.mapInArrow(add, "part int, data binary")
 
-    dealt = texts.mapInArrow(count, "part int, data binary").repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(add, "k int, key bigint, n bigint, total bigint")
+
+def levels(keys: np.ndarray, counts: np.ndarray, order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each k from order down to 1, the sequences of k + 1 bytes that occur at least so often, their counts and those of their contexts.
+
+    keys and counts are all sequences of order + 1 bytes of a part. Of order 1 a part knows parts; those come whole.
+    """
+    out = {}
+    for k in range(order, 0, -1):
+        if k < order:
+            keys, counts = tally(keys & np.uint64((1 << 8 * (k + 1)) - 1), counts)
+        context = keys >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.empty(0, np.int64)
+        total = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys)))) if len(keys) else counts
+        keep = counts >= least if k > 1 else np.ones(len(keys), bool)
+        out[k] = keys[keep], counts[keep], total[keep]
+    return out
+
+
+def low_orders(tables: DataFrame, order: int, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The model's counts of orders 0 and 1; there are at most 65,536 different sequences of two bytes."""
+
+    def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [tally(k & np.uint64(0xFFFF), n) for k, n in (unpack_table(x.as_py()) for x in batch.column(0))]
+        keys, counts = merge(found)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+
+    low = map_arrow(tables.select("data"), pairs, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    pair, found = low.column("key").to_numpy().astype(np.int64), low.column("n").to_numpy().astype(np.int64)
+    by_context, by_byte = np.bincount(pair >> 8, found, 256).astype(np.int64), np.bincount(pair & 255, found, 256).astype(np.int64)
+    kept, single = found >= least, np.flatnonzero(by_byte >= least)
+    return [(single, by_byte[single], np.full(len(single), by_byte.sum())), (pair[kept], found[kept], by_context[pair[kept] >> 8])]
 
 
 class Table:
@@ -249,11 +315,15 @@ class Model:
 
     def score(self, data: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte of data[order:] after those before it; 0 for START."""
-        order = self.order
-        key = windows(data, order + 1)
+        out = np.zeros(len(data) - self.order, np.float64)
+        left = np.flatnonzero(data[self.order :] != START)
+        out[left] = self.score_keys(windows(data, self.order + 1)[left])
+        return out
+
+    def score_keys(self, key: np.ndarray) -> np.ndarray:
+        """log10 of the probability of the last byte of each sequence of order + 1 bytes after the others."""
+        order, left = self.order, np.arange(len(key))
         out = np.zeros(len(key), np.float64)
-        left = np.flatnonzero(data[order:] != START)
-        key = key[left]
         came = np.full(len(left), -1, np.int64)
         for k in range(order, -1, -1):
             own = key & np.uint64((1 << 8 * (k + 1)) - 1)
@@ -280,20 +350,79 @@ class Model:
         return out
 
 
-def train(texts: DataFrame, positions: int, order: int = ORDER, nodes: int = NODES) -> Model:
-    """The model of all texts (one string column) with so many bytes and ends in all. At most nodes sequences of each length come to the driver."""
+def least_of(positions: int, order: int, nodes: int | None) -> int:
     if not 2 <= order <= 6:
         raise ValueError("contexts have 2 to 6 bytes")
-    least = max(1, -(-positions // nodes))
-    rows = written(gather(texts, order, least))
-    high = rows.filter("k > 1").toArrow()
-    k, key, n, total = (high.column(c).to_numpy() for c in ("k", "key", "n", "total"))
-    low = rows.filter("k = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    counts, pair = [(key[k == x], n[k == x], total[k == x]) for x in range(2, order + 1)], low.column("key").to_numpy().astype(np.int64)
-    found = low.column("n").to_numpy().astype(np.int64)
-    by_context, by_byte = np.bincount(pair >> 8, found, 256).astype(np.int64), np.bincount(pair & 255, found, 256).astype(np.int64)
-    kept, single = found >= least, np.flatnonzero(by_byte >= least)
-    return Model([(single, by_byte[single], np.full(len(single), by_byte.sum())), (pair[kept], found[kept], by_context[pair[kept] >> 8]), *counts])
+    return 1 if nodes is None else max(1, -(-positions // nodes))
+
+
+def train(texts: DataFrame, positions: int, order: int = ORDER, nodes: int | None = None) -> Model:
+    """The whole model of all texts (one string column) with so many bytes and ends in all, on the driver."""
+    least = least_of(positions, order, nodes)
+    tables = written(counted(texts, order, parts_of(texts)))
+    found = [unpack_table(x.as_py()) for x in tables.select("data").toArrow().column(0)]
+    high = levels(*merge(found), order, least) if found else levels(np.empty(0, np.uint64), np.empty(0, np.int64), order, least)
+    return Model([*low_orders(tables, order, least), *(high[k] for k in range(2, order + 1))])
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(block, keys, held, data, ends): the rows (key, text, held_out), with about BLOCK bytes of texts in each row of the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            raw, ends = utf8(batch.column(1))
+            for a, b in row_blocks(ends, BLOCK):
+                keys, held = (pa.array([batch.column(c).slice(a, b - a).to_pylist()], pa.list_(batch.column(c).type)) for c in (0, 2))
+                data, cut = pack_text(raw[ends[a] : ends[b]].tobytes()), (ends[a : b + 1] - ends[a]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), keys, held, pa.array([data], pa.binary()), pa.array([cut], pa.binary())], ["block", "keys", "held", "data", "ends"])
+                block += 1
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return written(rows.select("key", "text", "held_out").mapInArrow(run, f"block bigint, keys array<{kind}>, held array<boolean>, data binary, ends binary"))
+
+
+def asked(data: np.ndarray, order: int) -> np.ndarray:
+    """The distinct sequences of a block's stream, sorted."""
+    held = []
+    for keys in sequences(data, order):
+        held.append(tally(keys))
+        if len(held) > 8:
+            held = [merge(held)]
+    return merge(held)[0] if held else np.empty(0, np.uint64)
+
+
+def answers(laid: DataFrame, tables: DataFrame, low: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int, order: int, least: int) -> DataFrame:
+    """(block, part, n, scores): the n scores of each block's sequences that a part was asked for, in their order."""
+    few = laid.sparkSession.sparkContext.broadcast(low)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw, ends in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                keys = asked(stream(unpack_text(raw.as_py()), np.frombuffer(ends.as_py(), np.int64), order)[0], order)
+                for part, some, none in dealt(keys, np.zeros(len(keys), np.int64), parts):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([pack_table(some, none)], pa.binary())], ["part", "block", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come sorted by part and block; those of the model (block -1) come before the questions."""
+        now, held, model = None, [], None
+        for batch in batches:
+            for part, block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part != now:
+                    now, held, model = part, [], None
+                keys, counts = unpack_table(data.as_py())
+                if block < 0:
+                    held.append((keys, counts))
+                    continue
+                if model is None:
+                    high = levels(*(merge(held) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))), order, least)
+                    model, held = Model([*few.value, *(high[k] for k in range(2, order + 1))]), []
+                scores = pack_scores(model.score_keys(keys))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([scores], pa.binary())], ["block", "part", "n", "scores"])
+
+    asks = laid.select("block", "data", "ends").mapInArrow(ask, "part int, block bigint, data binary")
+    both = asks.unionByName(tables.select("part", F.lit(-1).cast("bigint").alias("block"), "data"))
+    return both.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(answer, "block bigint, part int, n bigint, scores binary")
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -320,7 +449,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, order: int = ORDER, nodes: int = NODES, common: int = WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, order: int = ORDER, nodes: int | None = None, common: int = WORDS) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of the key is divisible by folds are held out; the model learns from the others.
@@ -329,7 +458,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (remainder(key, folds) == 0).alias("held_out"))
     texts = rows.filter("NOT held_out").select(F.coalesce("text", F.lit("")).alias("text"))
     n_docs, n_bytes = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()
-    model = spark.sparkContext.broadcast(train(texts, n_docs + n_bytes, order, nodes))
+    least, parts = least_of(n_docs + n_bytes, order, nodes), parts_of(texts)
+    tables, laid = written(counted(texts, order, parts)), blocks(rows)
+    scores = answers(laid, tables, low_orders(tables, order, least), parts, order, least)
 
     words = written(count_words(texts))
     n_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -340,39 +471,66 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     known = spark.sparkContext.broadcast(dict(zip((w.encode() for w in often.column("word").to_pylist()), logs, strict=True)))
     end = float(np.log10((n_docs + 0.1) / divisor))
 
+    kind = rows.schema["key"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, frequent = model.value, known.value
-        row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            raw, ends = utf8(batch.column(1))
+        """The rows come sorted by block and part; a block's texts (part -1) come before the answers it got."""
+        frequent, row = known.value, TaskContext.get().partitionId() << 36
+        text, held = None, []
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            nonlocal row
+            ids, held_out, raw, ends = text
+            data, starts = stream(raw, ends, order)
+            each = [np.unique(keys, return_inverse=True) for keys in sequences(data, order)]
+            each = [(keys, at.astype(np.int32)) for keys, at in each]
+            sought = np.unique(np.concatenate([keys for keys, _ in each])) if each else np.empty(0, np.uint64)
+            scores, total = np.empty(len(sought), np.float32), np.zeros(len(ends) - 1)
+            if held:
+                # Packed as they were asked for.
+                scores[np.concatenate([at for *_, at in dealt(sought, np.arange(len(sought)), parts)])] = np.concatenate(held)
+            for at, (keys, inverse) in zip(range(0, len(data) - order, COUNTED), each, strict=True):
+                piece = data[at + order : at + order + COUNTED]
+                values = np.zeros(len(piece))
+                values[piece != START] = scores[np.searchsorted(sought, keys)][inverse]
+                i, j = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, at + len(values))
+                total[i:j] += np.add.reduceat(values, np.maximum(starts[i:j] - at, 0))
+            view = memoryview(raw)
             for a, b in row_blocks(ends, SCORED):
-                part, cut = raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
-                data, starts = stream(part, cut, order)
-                total = np.zeros(b - a)
-                for at in range(0, len(data) - order, SCORED):
-                    scores = trie.score(data[at : at + SCORED + order])
-                    i, j = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, at + len(scores))
-                    total[i:j] += np.add.reduceat(scores, np.maximum(starts[i:j] - at, 0))
-                view, to = memoryview(part), cut.tolist()
+                to = ends[a : b + 1].tolist()
                 n_tokens, n_known, base, rare, times = [], [], [], [], []
                 for i, j in zip(to, to[1:], strict=False):
-                    found = bytes(view[i:j]).lower().split()
-                    here = list(map(frequent.get, found))
-                    others = Counter([w for w, x in zip(found, here, strict=True) if x is None]) if None in here else {}
-                    n_tokens.append(len(found) + 1)
-                    n_known.append(len(found) - sum(others.values()) + (n_docs > 0))
+                    words_here = bytes(view[i:j]).lower().split()
+                    here = list(map(frequent.get, words_here))
+                    others = Counter([w for w, x in zip(words_here, here, strict=True) if x is None]) if None in here else {}
+                    n_tokens.append(len(words_here) + 1)
+                    n_known.append(len(words_here) - sum(others.values()) + (n_docs > 0))
                     base.append(sum(x for x in here if x is not None) + end)
                     rare.append([w.decode() for w in others])
                     times.append(list(others.values()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                     pa.array(base, pa.float64()), pa.array(total), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
+                    [pa.array(np.arange(row, row + b - a)), ids.slice(a, b - a), held_out.slice(a, b - a), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+                     pa.array(base, pa.float64()), pa.array(total[a:b]), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
                     ["row", "key", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"],
                 )
                 row += b - a
 
-    kind = rows.schema["key"].dataType.simpleString()
-    scored = written(rows.select("key", "text", "held_out").mapInArrow(run, f"row bigint, key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<string>, times array<bigint>"))
+        for batch in batches:
+            for k, part in enumerate(batch.column("part").to_pylist()):
+                if part < 0:
+                    if text is not None:
+                        yield from scored()
+                    text = (*(batch.column(c)[k].values for c in ("keys", "held")), unpack_text(batch.column("data")[k].as_py()), np.frombuffer(batch.column("ends")[k].as_py(), np.int64))
+                    held = []
+                else:
+                    held.append(unpack_scores(batch.column("scores")[k].as_py(), batch.column("n")[k].as_py()))
+        if text is not None:
+            yield from scored()
+
+    asks = laid.withColumn("part", F.lit(-1)).unionByName(scores, allowMissingColumns=True)
+    returned = asks.repartition(parts, "block").sortWithinPartitions("block", "part")
+    scored = written(returned.mapInArrow(run, f"row bigint, key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<string>, times array<bigint>"))
+    remove(laid), remove(tables)
     single = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = single.join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     late = met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((F.col("n") + 0.1) / divisor)).alias("rest"))

@@ -142,6 +142,20 @@ def test_pruned_model_is_bounded(spark):
         assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_rare_sequences_count_in_large_corpora(spark):
+    common = [prose(k, 400) for k in range(4)]
+    rows = [(1000 + i, common[i % 4], "en", "a") for i in range(1200)] + [(5000 + k, f"zq{k} xjv kwy {prose(50 + k, 5)}", "en", "a") for k in range(30)] + ODD
+    train, seen = Counter((t or "").encode().lower() for i, t, *_ in rows if zlib.crc32(str("" if i is None else i).encode()) % 10), Counter()
+    assert sum(n * (len(t) + 1) for t, n in train.items()) > 1 << 21
+    for t, n in train.items():
+        for s, c in brute_ppm([t], 3).items():
+            seen[s] += n * c
+    out = {r["doc_id"]: r["score"] for r in ppm.score_texts(docs_of(spark, rows), order=3).collect()}
+    for i, t, *_ in rows[1200:1230] + ODD[1:5]:
+        data = bytes([ppm.START]) * 3 + (t or "").encode().lower() + bytes([ppm.END])
+        assert out[i] == pytest.approx(sum(math.log10(brute_probability(seen, 3, data[j - 3 : j], data[j])) for j in range(3, len(data))), abs=1e-4)
+
+
 def test_scores_of_nothing(nothing):
     assert ppm.score_texts(nothing).count() == 0
 
