@@ -184,74 +184,89 @@ def pairings(seed: int = 7) -> list[tuple[int, int]]:
     return [(int(min(p, q)), int(max(p, q))) for _ in range(PAIRINGS) for p, q in order.permutation(POSITIONS).reshape(-1, 2)]
 
 
-def wide_fingerprint(text: bytes, width: int, seed: int = 42) -> bytes:
-    """256 majority votes over the shingles of one text; a text without words has a fingerprint of zeros."""
+def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     n = len(words)
     if not n:
-        return bytes(POSITIONS)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     m = max(1, n - width + 1)
-    starts = np.concatenate(([0], ends[: m - 1]))
-    stops = ends[width - 1 :] - 1 if n >= width else ends[-1:] - 1
+    starts = np.concatenate(([0], ends[: m - 1])).tolist()
+    stops = (ends[width - 1 :] - 1 if n >= width else ends[-1:] - 1).tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(joined[i:j], seed) for i, j in zip(starts, stops, strict=True)), np.uint64, m))
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets; that of two empty ones is 1."""
+    both = len(x) + len(y)
+    common = both - len(np.unique(np.concatenate((x, y))))
+    return common / (both - common) if both else 1.0
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """256 majority votes over the distinct shingles of one text; a text without words has a fingerprint of zeros."""
     votes = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, m, 255):
-        a, b = starts[at : at + 255].tolist(), stops[at : at + 255].tolist()
-        h = np.array([xxh64_intdigest(joined[i:j], seed) for i, j in zip(a, b, strict=True)], np.uint64)[:, None] * FACTORS
+    for at in range(0, len(hashes), 255):
+        h = hashes[at : at + 255, None] * FACTORS
         h = (h ^ h >> np.uint64(32)) * FACTORS[::-1]
         h ^= h >> np.uint64(29)
         votes += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * votes > m).tobytes()
+    return np.packbits(2 * votes > len(hashes)).tobytes()
+
 
+def wide_links(prints: np.ndarray, roots: np.ndarray, matches: int, bits: int, whole: bool) -> list[tuple[int, int]]:
+    """Pairs of one posting list (rows of POSITIONS bytes) of different roots with enough equal bytes and few enough differing bits.
 
-def wide_links(prints: np.ndarray, matches: int, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of one posting list (rows of POSITIONS bytes): pairs with enough equal bytes and few enough differing bits."""
-    words, root, made = np.ascontiguousarray(prints).view(np.uint64), list(range(len(prints))), []
+    Either all of them (whole), or those of a spanning forest that takes the nearest first.
+    """
+    words, root, found = np.ascontiguousarray(prints).view(np.uint64), list(range(len(prints))), []
     for a in range(0, len(prints), 512):
         for b in range(a, len(prints), 512):
             differ = sum(np.bitwise_count(words[a : a + 512, None, k] ^ words[None, b : b + 512, k]).astype(np.int16) for k in range(WIDE))
-            near = differ <= bits
+            near = (differ <= bits) & (roots[a : a + 512, None] != roots[None, b : b + 512])
             i, j = np.nonzero(np.triu(near, 1) if a == b else near)
-            i, j = a + i, b + j
-            for at in range(0, len(i), 1 << 16):
-                x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                kept = (prints[x] == prints[y]).sum(axis=1) >= matches
-                for p, q in zip(x[kept].tolist(), y[kept].tolist(), strict=True):
-                    u, v = p, q
-                    while root[u] != u:
-                        root[u] = root[root[u]]
-                        u = root[u]
-                    while root[v] != v:
-                        root[v] = root[root[v]]
-                        v = root[v]
-                    if u != v:
-                        root[max(u, v)] = min(u, v)
-                        made.append((p, q))
+            if len(i):
+                kept = (prints[a + i] == prints[b + j]).sum(axis=1) >= matches
+                found.append((a + i[kept], b + j[kept], differ[i, j][kept]))
+    if not found:
+        return []
+    x, y, differ = (np.concatenate(c) for c in zip(*found, strict=True))
+    if whole:
+        return list(zip(x.tolist(), y.tolist(), strict=True))
+    made, order = [], np.argsort(differ, kind="stable")
+    for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        u, v = _find(root, p), _find(root, q)
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            made.append((p, q))
     return made
 
 
-def wide_edges(nodes: DataFrame, matches: int, bits: int) -> DataFrame:
-    """(a, b): links between the nodes (node bigint, fp binary), found under the keys of pairings()."""
+def wide_edges(nodes: DataFrame, matches: int, bits: int, whole: bool) -> DataFrame:
+    """(a, b): pairs of nodes (node bigint, root bigint, fp binary) of different roots that may be near copies, found under the keys of pairings()."""
     pairs = pairings()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                prints = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), np.uint8).reshape(-1, POSITIONS).astype(np.int32)
+                prints = np.frombuffer(b"".join(x.as_py() for x in part.column(2)), np.uint8).reshape(-1, POSITIONS).astype(np.int32)
                 keys = np.concatenate([k << 16 | prints[:, p] << 8 | prints[:, q] for k, (p, q) in enumerate(pairs)])
                 rows = pa.array(np.tile(np.arange(part.num_rows), len(pairs)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), part.column(0).take(rows), part.column(1).take(rows)], ["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(part.column(c).take(rows) for c in range(3))], ["key", "node", "root", "fp"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come sorted by key; a list may span batches."""
-        held_key, nodes_held, prints_held = None, [], []
+        held_key, nodes_held, roots_held, prints_held = None, [], [], []
 
         def forest() -> list[tuple[int, int]]:
-            found = wide_links(np.frombuffer(b"".join(prints_held), np.uint8).reshape(-1, POSITIONS), matches, bits) if len(nodes_held) > 1 else []
+            if len(nodes_held) < 2:
+                return []
+            found = wide_links(np.frombuffer(b"".join(prints_held), np.uint8).reshape(-1, POSITIONS), np.array(roots_held), matches, bits, whole)
             return [(nodes_held[p], nodes_held[q]) for p, q in found]
 
         def pairs_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -259,11 +274,12 @@ def wide_edges(nodes: DataFrame, matches: int, bits: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for key, node, fp in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for key, node, root, fp in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if key != held_key:
                     out += forest()
-                    held_key, nodes_held, prints_held = key, [], []
+                    held_key, nodes_held, roots_held, prints_held = key, [], [], []
                 nodes_held.append(node)
+                roots_held.append(root)
                 prints_held.append(fp)
             if out:
                 yield pairs_of(out)
@@ -271,35 +287,71 @@ def wide_edges(nodes: DataFrame, matches: int, bits: int) -> DataFrame:
             yield pairs_of(out)
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = nodes.select("node", "fp").mapInArrow(index, "key int, node bigint, fp binary")
+    postings = nodes.select("node", "root", "fp").mapInArrow(index, "key int, node bigint, root bigint, fp binary")
     return postings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tally, "a bigint, b bigint")
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, matches: int = 3, bits: int = 50) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) have sets of shingles alike to least or more."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        (x, to_x), (y, to_y) = utf8(batch.column(2)), utf8(batch.column(3))
+        last, kept = None, []
+        for k in range(batch.num_rows):
+            if k == 0 or batch.column(0)[k] != batch.column(0)[k - 1]:
+                last = shingles(x[to_x[k] : to_x[k + 1]].tobytes(), width)
+            kept.append(alike(last, shingles(y[to_y[k] : to_y[k + 1]].tobytes(), width)) >= least)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return checkpointed(map_arrow(met.select("a", "b", "x", "y"), run, "a bigint, b bigint"))
+
+
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, matches: int = 3, bits: int = 50, least: float = 0.8) -> DataFrame:
     """df without the near copies of others: of each group the row with the smallest key stays.
 
-    Texts whose sets of five-word shingles are alike to 0.8 differ in some 15 % of fingerprint bits, out of reach for the
-    index of 64-bit fingerprints and 3 bits. Here fingerprints have 256 bits, so that 32 byte positions can be tallied:
-    such texts share nearly 9 of them on average, others 1 in 8. The postings are by pairs of positions (64 keys of 16
-    bits); pairs of texts that meet there, share at least matches bytes in all and differ in at most bits of 256 (15 % and
-    two standard deviations) are links. Groups are what links connect. About 98 in 100 pairs of a similarity of exactly
-    0.8 are found, nearly all above 0.85, and few below 0.7.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of least or more; groups are what
+    they connect. At 0.8 they differ in some 15 % of fingerprint bits, out of reach for the index of 64-bit fingerprints
+    and 3 bits. Here fingerprints have 256 bits, so that 32 byte positions can be tallied: such texts share nearly 9 of
+    them on average, others 1 in 8. The postings are by pairs of positions (64 keys of 16 bits); pairs of texts that
+    meet there, share at least matches bytes in all and differ in at most bits of 256 are checked.
 
-    Of rows with equal keys and texts one stays; null keys come after all others.
+    Fingerprints only propose pairs; the shingles of both texts decide. First a spanning forest of each posting list is
+    checked, the nearest pairs first, and then every other proposed pair that the links found so far don't connect: so a
+    large group of near copies doesn't make all of its pairs, and yet no pair goes unchecked that could add a link.
+
+    Texts with equal sets of shingles are one node. Of rows with equal keys and texts one stays; null keys come after all
+    others.
     """
     rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        from xxhash import xxh3_128_digest
+
         raw, ends = utf8(batch.column(2))
         view, at = memoryview(raw), ends.tolist()
-        prints = [wide_fingerprint(bytes(view[i:j]), width) for i, j in zip(at, at[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary())], ["key", "th", "fp"])
-
-    prints = checkpointed(map_arrow(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, th bigint, fp binary"))
+        sets, prints = [], []
+        for i, j in zip(at, at[1:], strict=False):
+            found = shingles(bytes(view[i:j]), width)
+            sets.append(xxh3_128_digest(found.tobytes()))
+            prints.append(wide_fingerprint(found))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(prints, pa.binary())], ["key", "th", "same", "fp"])
+
+    prints = checkpointed(map_arrow(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, th bigint, same binary, fp binary"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th"))
-    nodes = checkpointed(prints.groupBy("fp").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    roots = components(wide_edges(nodes, matches, bits))
-    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = checkpointed(prints.groupBy("same", "fp").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id()))
+
+    def found(rooted: DataFrame, whole: bool) -> DataFrame:
+        pairs = checkpointed(wide_edges(rooted, matches, bits, whole).distinct())
+        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.key").alias("k"), F.col("first.th").alias("t"))
+        texts = met.join(rows, F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("th"))).select("node", "text").dropDuplicates(["node"])
+        return verified(pairs, checkpointed(texts), width, least)
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        return nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    near = found(nodes.withColumn("root", F.col("node")), False)
+    grouped = rooted(near.unionByName(found(checkpointed(rooted(near)), True)))
     kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__sim_key"), F.col("first.th").alias("__sim_th"))
     marked = df.withColumn("__sim_text", F.xxhash64(text))
     met = marked.join(kept, F.col(key).eqNullSafe(F.col("__sim_key")) & (F.col("__sim_text") == F.col("__sim_th")), "left_semi")

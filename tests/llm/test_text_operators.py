@@ -290,6 +290,21 @@ def test_deduplicate(spark):
     assert sum(ids[k] for k in (1, 2, 3) if k in ids) <= 3
 
 
+def similar(seed, n, lost):
+    """A text of n words and a copy with the last words changed, so that the five-word shingles are alike to (n - 4 - lost) / (n - 4 + lost)."""
+    draw = np.random.default_rng(seed)
+    words = ["".join(draw.choice(list("abcdefghij"), 6)) for _ in range(n + lost)]
+    return " ".join(words[:n]), " ".join(words[: n - lost] + words[n:])
+
+
+def test_only_near_copies_go(spark):
+    # Of similarity 0.70 and 0.85; the former pairs are often within the bits.
+    rows = [(10 * k + i, t, "en", "a") for k in range(40) for i, t in enumerate(similar(k, 204, 36 if k % 2 else 16))]
+    ids = {r["doc_id"] for r in simhash.deduplicate(docs_of(spark, rows)).collect()}
+    assert ids >= {10 * k + i for k in range(1, 40, 2) for i in (0, 1)}
+    assert ids >= set(range(0, 400, 10)) and not ids & set(range(1, 400, 20))
+
+
 def test_simhash_of_nothing(nothing):
     assert simhash.classes(nothing).count() == 0 and simhash.deduplicate(nothing).count() == 0
 
