@@ -172,18 +172,12 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The wide fingerprint: words of 64 bits, byte positions, and how many pairings of these make keys.
-WIDE, POSITIONS, PAIRINGS = 4, 32, 4
+#: The wide fingerprint: words of 64 bits and byte positions.
+WIDE, POSITIONS = 4, 32
 #: Odd factors that make a word of the wide fingerprint each out of one hash.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def pairings(seed: int = 7) -> list[tuple[int, int]]:
-    """Pairs of byte positions: in each pairing every position occurs once."""
-    order = np.random.default_rng(seed)
-    return [(int(min(p, q)), int(max(p, q))) for _ in range(PAIRINGS) for p, q in order.permutation(POSITIONS).reshape(-1, 2)]
-
-
 def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
     """The sorted distinct hashes of a text's word shingles."""
     from xxhash import xxh64_intdigest
@@ -218,73 +212,94 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * votes > len(hashes)).tobytes()
 
 
-def wide_links(prints: np.ndarray, roots: np.ndarray, matches: int, bits: int, whole: bool) -> list[tuple[int, int]]:
-    """Pairs of one posting list (rows of POSITIONS bytes) of different roots with enough equal bytes and few enough differing bits.
+def wide_links(prints: np.ndarray, roots: np.ndarray, p: int, matches: int, bits: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the posting list of position p (rows of POSITIONS bytes) of different roots with enough equal bytes and few enough differing bits.
 
-    Either all of them (whole), or those of a spanning forest that takes the nearest first.
+    Either all of them (whole), or those of a spanning forest that takes the nearest first. Rows are compared where
+    another byte after p matches as well; a pair belongs to the list of the first position at which it matches.
     """
-    words, root, found = np.ascontiguousarray(prints).view(np.uint64), list(range(len(prints))), []
-    for a in range(0, len(prints), 512):
-        for b in range(a, len(prints), 512):
-            differ = sum(np.bitwise_count(words[a : a + 512, None, k] ^ words[None, b : b + 512, k]).astype(np.int16) for k in range(WIDE))
-            near = (differ <= bits) & (roots[a : a + 512, None] != roots[None, b : b + 512])
-            i, j = np.nonzero(np.triu(near, 1) if a == b else near)
-            if len(i):
-                kept = (prints[a + i] == prints[b + j]).sum(axis=1) >= matches
-                found.append((a + i[kept], b + j[kept], differ[i, j][kept]))
-    if not found:
-        return []
-    x, y, differ = (np.concatenate(c) for c in zip(*found, strict=True))
-    if whole:
-        return list(zip(x.tolist(), y.tolist(), strict=True))
-    made, order = [], np.argsort(differ, kind="stable")
-    for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        u, v = _find(root, p), _find(root, q)
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            made.append((p, q))
-    return made
+    words, held, size = np.ascontiguousarray(prints).view(np.uint64), [], 0
+    later = np.arange(p + 1, POSITIONS)
+    order = np.argsort(prints[:, later], axis=0, kind="stable")
+    column = np.take_along_axis(prints[:, later], order, axis=0)
+
+    def forest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y, differ = (np.concatenate(c) for c in zip(*held, strict=True))
+        root, made, nearest = list(range(len(prints))), [], np.argsort(differ, kind="stable")
+        for at, i, j in zip(nearest.tolist(), x[nearest].tolist(), y[nearest].tolist(), strict=True):
+            u, v = _find(root, i), _find(root, j)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                made.append(at)
+        return x[made], y[made], differ[made]
+
+    for step in range(1, len(prints)):
+        at, q = np.nonzero(column[step:] == column[:-step])
+        if not len(at):
+            break
+        x, y = order[at, q], order[at + step, q]
+        differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int16)
+        near = np.flatnonzero((differ <= bits) & (roots[x] != roots[y]))
+        if not len(near):
+            continue
+        x, y, q, differ = x[near], y[near], later[q[near]], differ[near]
+        equal = prints[x] == prints[y]
+        # The first two matches of the pair are p and q, so it is met once.
+        seen = equal[:, :p].any(axis=1) | (np.argmax(equal[:, p + 1 :], axis=1) + p + 1 != q)
+        kept = ~seen & (equal.sum(axis=1) >= matches)
+        if not kept.any():
+            continue
+        if whole:
+            yield x[kept], y[kept]
+            continue
+        held.append((x[kept], y[kept], differ[kept]))
+        size += len(held[-1][0])
+        if size > max(1 << 18, 4 * len(prints)):
+            held = [forest()]
+            size = len(held[0][0])
+    if held:
+        yield forest()[:2]
 
 
 def wide_edges(nodes: DataFrame, matches: int, bits: int, whole: bool) -> DataFrame:
-    """(a, b): pairs of nodes (node bigint, root bigint, fp binary) of different roots that may be near copies, found under the keys of pairings()."""
-    pairs = pairings()
+    """(a, b): pairs of nodes (node bigint, root bigint, fp binary) of different roots that may be near copies: those that share at least two bytes.
+
+    The postings are by one byte position; a list is divided by each later position in turn, so all pairs of positions
+    serve as keys while a node has one posting for each position only.
+    """
+    if matches < 2:
+        raise ValueError("the index finds pairs that share at least two bytes")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 prints = np.frombuffer(b"".join(x.as_py() for x in part.column(2)), np.uint8).reshape(-1, POSITIONS).astype(np.int32)
-                keys = np.concatenate([k << 16 | prints[:, p] << 8 | prints[:, q] for k, (p, q) in enumerate(pairs)])
-                rows = pa.array(np.tile(np.arange(part.num_rows), len(pairs)))
+                keys = np.concatenate([p << 8 | prints[:, p] for p in range(POSITIONS)])
+                rows = pa.array(np.tile(np.arange(part.num_rows), POSITIONS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(part.column(c).take(rows) for c in range(3))], ["key", "node", "root", "fp"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come sorted by key; a list may span batches."""
         held_key, nodes_held, roots_held, prints_held = None, [], [], []
 
-        def forest() -> list[tuple[int, int]]:
+        def links_held() -> Iterator[pa.RecordBatch]:
             if len(nodes_held) < 2:
-                return []
-            found = wide_links(np.frombuffer(b"".join(prints_held), np.uint8).reshape(-1, POSITIONS), np.array(roots_held), matches, bits, whole)
-            return [(nodes_held[p], nodes_held[q]) for p, q in found]
-
-        def pairs_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                return
+            prints, ids = np.frombuffer(b"".join(prints_held), np.uint8).reshape(-1, POSITIONS), np.array(nodes_held)
+            for x, y in wide_links(prints, np.array(roots_held), held_key >> 8, matches, bits, whole):
+                u, v = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
 
         for batch in batches:
-            out = []
             for key, node, root, fp in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if key != held_key:
-                    out += forest()
+                    yield from links_held()
                     held_key, nodes_held, roots_held, prints_held = key, [], [], []
                 nodes_held.append(node)
                 roots_held.append(root)
                 prints_held.append(fp)
-            if out:
-                yield pairs_of(out)
-        if out := forest():
-            yield pairs_of(out)
+        yield from links_held()
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = nodes.select("node", "root", "fp").mapInArrow(index, "key int, node bigint, root bigint, fp binary")
@@ -307,14 +322,14 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return checkpointed(map_arrow(met.select("a", "b", "x", "y"), run, "a bigint, b bigint"))
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, matches: int = 3, bits: int = 50, least: float = 0.8) -> DataFrame:
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, matches: int = 2, bits: int = 64, least: float = 0.8) -> DataFrame:
     """df without the near copies of others: of each group the row with the smallest key stays.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of least or more; groups are what
     they connect. At 0.8 they differ in some 15 % of fingerprint bits, out of reach for the index of 64-bit fingerprints
     and 3 bits. Here fingerprints have 256 bits, so that 32 byte positions can be tallied: such texts share nearly 9 of
-    them on average, others 1 in 8. The postings are by pairs of positions (64 keys of 16 bits); pairs of texts that
-    meet there, share at least matches bytes in all and differ in at most bits of 256 are checked.
+    them on average, others 1 in 8. All pairs that share at least matches bytes and differ in at most bits of 256
+    (15 % and four standard deviations) are checked.
 
     Fingerprints only propose pairs; the shingles of both texts decide. First a spanning forest of each posting list is
     checked, the nearest pairs first, and then every other proposed pair that the links found so far don't connect: so a

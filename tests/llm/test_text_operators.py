@@ -305,6 +305,12 @@ def test_only_near_copies_go(spark):
     assert ids >= set(range(0, 400, 10)) and not ids & set(range(1, 400, 20))
 
 
+def test_near_copies_at_the_limit_go(spark):
+    # All have a similarity of 0.802.
+    rows = [(10 * k + i, t, "en", "a") for k in range(300) for i, t in enumerate(similar(k, 204, 22))]
+    assert {r["doc_id"] for r in simhash.deduplicate(docs_of(spark, rows)).collect()} == set(range(0, 3000, 10))
+
+
 def test_simhash_of_nothing(nothing):
     assert simhash.classes(nothing).count() == 0 and simhash.deduplicate(nothing).count() == 0
 
