@@ -391,11 +391,38 @@ def test_word_count(spark):
 
 
 # Packing
-def test_best_fit():
+def bracketed(spark, runs):
+    """What a sweep matches, document by document: each takes the smallest gap left that holds it."""
+    gaps, out = sorted((v, k, n) for k, (v, kind, _, n) in enumerate(runs) if kind == 0 for n in range(n)), Counter()
+    free = [(v, runs[k][2]) for v, k, _ in gaps]
+    for value, kind, id_, n in sorted(runs, reverse=True):
+        for _ in range(n if kind else 0):
+            at = next((k for k, (v, _) in enumerate(free) if v >= value), None)
+            if at is not None:
+                out[id_, free.pop(at)] += 1
+    return out
+
+
+def test_sweep(spark):
+    draw = np.random.default_rng(4)
+    for _ in range(6):
+        runs = [(v, 0, v, int(draw.integers(1, 5))) for v in draw.choice(40, 8, False).tolist()] + [(v, 1, 100 + v, int(draw.integers(1, 9))) for v in draw.choice(40, 10, False).tolist()]
+        found, seen = packing.swept(spark, runs), Counter()
+        sizes = {(kind, k): n for _, kind, k, n in runs}
+        have = Counter()
+        for doc, gap, doc_at, gap_at, n in found:
+            have[doc, (gap, gap)] += n
+            seen.update([(1, doc, k) for k in range(doc_at, doc_at + n)] + [(0, gap, k) for k in range(gap_at, gap_at + n)])
+            assert doc_at + n <= sizes[1, doc] and gap_at + n <= sizes[0, gap]
+        # Each gap's value is its id here; of equal documents it doesn't matter which goes where.
+        assert max(seen.values(), default=1) == 1 and have == bracketed(spark, runs)
+
+
+def test_best_fit(spark):
     draw = np.random.default_rng(5)
-    for _ in range(30):
+    for _ in range(10):
         counts = Counter(draw.integers(1, 65, int(draw.integers(0, 300))).tolist())
-        segments, fill, n = packing.best_fit(counts, 64), Counter(), 0
+        segments, fill, n = packing.best_fit(spark, counts, 64), Counter(), 0
         for k, (length, rank, first, offset) in enumerate(segments.tolist()):
             end = segments[k + 1, 1] if k + 1 < len(segments) and segments[k + 1, 0] == length else counts[length]
             for s in range(first, first + int(end) - rank):
@@ -411,7 +438,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     texts = ["It's  two spaces,\n new line", " lead and trail ", "<|endoftext|> 'll '", "tab\there   nbsp", "1234 x5 !!??", prose(2, 2500)]
     rows = ODD + [(50 + k, t, "en", "a") for k, t in enumerate(texts)] + [(80 + k, prose(k, 37 * k), "en", "a") for k in range(40)]
     out = packing.pack(docs_of(spark, rows), 256).toPandas()
