@@ -44,6 +44,21 @@ def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_hot(rows: DataFrame, named: DataFrame, on: list[str], n: str) -> DataFrame:
+    """rows joined with named, a checkpointed table of a row per key (on) and the number n of rows that bear the key.
+
+    A key that more rows bear than a quarter of what a shuffle partition holds on average is joined by a broadcast; there
+    are at most four times as many of them as partitions. The other keys are joined by a shuffle, which they load evenly.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = named.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    most = max(100, whole // (4 * parts))
+    hot, cold = checkpointed(named.filter(F.col(n) > most).drop(n)), named.filter(F.col(n) <= most).drop(n)
+    if hot.isEmpty():
+        return rows.join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 def remainder(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n

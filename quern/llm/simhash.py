@@ -5,11 +5,11 @@ most 3 bits agree in at least 5 of their 8 bytes, so shared positional bytes can
 Postings by one byte would hold a 256th of all rows each, and their pairs would grow with the square of the input.
 The index is therefore by sets of byte positions, chosen so that any 5 positions hold one of the sets: the 3-subsets of
 each half (8 keys of 24 bits). Every pair that could reach 5 matches meets under at least one key; there
-the shared bytes are tallied, pairs with fewer than 5 are dropped, and the others are verified bit by bit.
+the shared bytes are tallied, pairs with fewer than 5 are dropped, and only the others are compared bit by bit.
 
 Only distinct fingerprints are indexed, and a posting list answers with a spanning forest of its links, not with all
-pairs, so a group of k near copies makes at most k - 1 rows per key. A posting list too long for one block of
-comparisons is divided by a second index of the same kind over its other five bytes (two more of them must match).
+pairs, so a group of k near copies makes at most k - 1 rows per key. A long posting list is divided by a second index
+of the same kind over its other five bytes (two more of them must match).
 
 Defined cases: null and empty texts have fingerprint 0 and are linked like any other; fewer words than a shingle: the
 whole sequence; null doc_ids never name a component unless all of its doc_ids are null; repeated rows share a
@@ -18,21 +18,22 @@ component; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpointed, map_arrow, utf8
+from quern.llm.common import broadcast_if_small, checkpointed, join_hot, map_arrow, utf8
 from quern.llm.components import components
 
 #: Any 5 of the 8 byte positions hold all of at least one of these: 3 of them lie in one half.
 KEYS = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
-#: Comparisons in one block of a posting list.
-BLOCK = 2048
+#: Posting lists longer than LONG are divided; lists are tallied together until they hold HELD postings or more.
+LONG, HELD = 4096, 1 << 16
 
 
 def fingerprint(text: bytes, width: int, lower: bool = True, seed: int = 42) -> int:
@@ -69,54 +70,80 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     return map_arrow(df.select(key, text), run, f"`{key}` {kind}, `{out}` bigint")
 
 
-def _find(root: np.ndarray, x: int) -> int:
-    while root[x] != x:
-        root[x] = root[root[x]]
-        x = root[x]
-    return x
+def forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the links (i, j) between n nodes make a spanning forest, the first ones preferred, and each node's root.
+
+    In each turn every root that a link leads to a smaller one takes the first such link, so that no turn closes a circle.
+    """
+    root, left, made = np.arange(n) if root is None else root.copy(), np.arange(len(i)), [np.empty(0, np.int64)]
+    while len(left):
+        a, b = root[i[left]], root[j[left]]
+        apart = a != b
+        left, high, low = left[apart], np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+        high, first = np.unique(high, return_index=True)
+        made.append(left[first])
+        root[high] = low[first]
+        while (root[root] != root).any():
+            root = root[root]
+    return np.concatenate(made), root
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The tally of each pair: at how many of the 8 byte positions two fingerprints agree."""
+    return ((x ^ y)[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1, dtype=np.uint8)
+
+
+def near(keys: np.ndarray, prints: np.ndarray, bits: int, seen: Callable[[int, int], None] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sorted postings that have one key, share enough positional bytes and then differ in few enough bits."""
+    at = np.arange(len(keys))
+    for step in range(1, len(keys)):
+        at = at[: np.searchsorted(at, len(keys) - step)]
+        at = at[keys[at] == keys[at + step]]
+        if not len(at):
+            return
+        kept = at[shared(prints[at], prints[at + step]) >= 8 - bits]
+        if seen is not None:
+            seen(len(at), len(kept))
+        close = kept[np.bitwise_count(prints[kept] ^ prints[kept + step]) <= bits]
+        if len(close):
+            yield close, close + step
 
 
-def _near(prints: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one list that share enough positional bytes and differ in few enough bits, block by block."""
-    least = 8 - bits
-    for a in range(0, len(prints), BLOCK):
-        for b in range(a, len(prints), BLOCK):
-            x = prints[a : a + BLOCK, None] ^ prints[None, b : b + BLOCK]
-            near = np.bitwise_count(x) <= bits
-            if a == b:
-                near = np.triu(near, 1)
-            i, j = np.nonzero(near)
-            # The tally of shared positional bytes; it can't drop a pair that the bits let pass.
-            kept = (x[i, j][:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= least
-            yield a + i[kept], b + j[kept]
+def divided(prints: np.ndarray, positions: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of one posting list by every two of its other bytes, and the index of each posting's fingerprint."""
+    parts = prints[:, None].view(np.uint8).reshape(-1, 8)[:, ::-1].astype(np.int64)
+    pairs = combinations([x for x in range(8) if x not in positions], 2)
+    keys = np.concatenate([k << 16 | parts[:, p] << 8 | parts[:, q] for k, (p, q) in enumerate(pairs)])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order % len(prints)
 
 
 def links(prints: np.ndarray, positions: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within one posting list of distinct fingerprints (uint64)."""
-    root, made = np.arange(len(prints)), []
-
-    def join(i: np.ndarray, j: np.ndarray) -> None:
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = _find(root, x), _find(root, y)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                made.append((x, y))
-
-    if len(prints) <= 2 * BLOCK:
-        for i, j in _near(prints, bits):
-            join(i, j)
-    else:
-        # Two or more of the other five bytes match as well, so each pair meets under one of their pairs.
-        parts = prints[:, None].view(np.uint8).reshape(-1, 8)[:, ::-1]
-        for p, q in combinations([x for x in range(8) if x not in positions], 2):
-            sub = parts[:, p].astype(np.int64) << 8 | parts[:, q]
-            order = np.argsort(sub, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(sub[order])) + 1):
-                if len(part) > 1:
-                    for i, j in _near(prints[part], bits):
-                        join(part[i], part[j])
-    found = np.array(made, np.int64).reshape(-1, 2)
-    return prints[found[:, 0]], prints[found[:, 1]]
+    keys, of = divided(prints, positions) if len(prints) > LONG else (np.zeros(len(prints), np.int64), np.arange(len(prints)))
+    return spanned(keys, prints, of, bits)
+
+
+def spanned(keys: np.ndarray, prints: np.ndarray, of: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between postings (sorted by key) of the fingerprints prints[of]."""
+    root, made, held, size = np.arange(len(prints)), [], [], 0
+
+    def add() -> None:
+        nonlocal root, held, size
+        i, j = (np.concatenate(c) for c in zip(*held, strict=True))
+        chosen, root = forest(len(prints), i, j, root)
+        made.append((i[chosen], j[chosen]))
+        held, size = [], 0
+
+    for i, j in near(keys, prints[of], bits):
+        held.append((of[i], of[j]))
+        size += len(i)
+        if size > 1 << 18:
+            add()
+    if held:
+        add()
+    i, j = (np.concatenate([np.empty(0, np.int64), *(m[k] for m in made)]) for k in (0, 1))
+    return prints[i], prints[j]
 
 
 def edges(prints: DataFrame, fp: str = "fp", bits: int = 3) -> DataFrame:
@@ -131,29 +158,30 @@ def edges(prints: DataFrame, fp: str = "fp", bits: int = 3) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(x, len(KEYS)))], ["key", "fp"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows come sorted by key; a list may span batches."""
-        held_key, held = None, []
-
-        def forest(key: int, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            return links(np.concatenate(rows).view(np.uint64), KEYS[key >> 24], bits)
+        """The rows come sorted by key; a list may span batches, and many lists are tallied at once."""
+        keys, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
+
+        def found(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.diff(keys, prepend=-1, append=-1))
+            each = np.repeat(np.diff(cut), np.diff(cut))
+            # A list's forest is one of the fingerprints' own, so equal fingerprints under different keys stay apart.
+            some = each <= LONG
+            out = [spanned(keys[some], prints[some], np.arange(int(some.sum())), bits)]
+            for a, n in zip(cut[:-1].tolist(), np.diff(cut).tolist(), strict=True):
+                if n > LONG:
+                    out.append(links(prints[a : a + n], KEYS[int(keys[a]) >> 24], bits))
+            if any(len(a) for a, _ in out):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]).view(np.int64)) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             key, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            cut, out = np.flatnonzero(np.diff(key)) + 1, []
-            for k, part in zip(key[np.concatenate(([0], cut))].tolist() if len(key) else [], np.split(x, cut), strict=False):
-                if k != held_key and held_key is not None:
-                    if sum(map(len, held)) > 1:
-                        out.append(forest(held_key, held))
-                    held = []
-                held_key = k
-                held.append(part)
-            if out:
-                yield pairs(out)
-        if held_key is not None and sum(map(len, held)) > 1:
-            yield pairs([forest(held_key, held)])
-
-    def pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]).view(np.int64)) for k in (0, 1)], ["a", "b"])
+            keys, prints = np.concatenate((keys, key)), np.concatenate((prints, x.view(np.uint64)))
+            end = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if end >= HELD:
+                yield from found(keys[:end], prints[:end])
+                keys, prints = keys[end:], prints[end:]
+        if len(keys):
+            yield from found(keys, prints)
 
     postings = map_arrow(prints.select(fp).distinct(), index, "key bigint, fp bigint")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -163,13 +191,13 @@ def edges(prints: DataFrame, fp: str = "fp", bits: int = 3) -> DataFrame:
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """(key, fingerprint, component_id) for each row: 16 hex digits, and the smallest key that links reach."""
     prints = checkpointed(fingerprints(df, key, text, width))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min(key).alias("least")))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     roots = components(edges(nodes, "fp", bits))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.join(least, "root").select("fp", "component_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return join_hot(prints, checkpointed(named), ["fp"], "n").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: The wide fingerprint: words of 64 bits and byte positions.
@@ -212,25 +240,22 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * votes > len(hashes)).tobytes()
 
 
-def wide_links(prints: np.ndarray, roots: np.ndarray, p: int, matches: int, bits: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the posting list of position p (rows of POSITIONS bytes) of different roots with enough equal bytes and few enough differing bits.
+def wide_links(prints: np.ndarray, p: int, matches: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the posting list of position p (rows of POSITIONS bytes) that share enough bytes and differ in few enough bits.
 
-    Either all of them (whole), or those of a spanning forest that takes the nearest first. Rows are compared where
-    another byte after p matches as well; a pair belongs to the list of the first position at which it matches.
+    Those of a spanning forest that takes the nearest first. Rows are compared where another byte after p matches as
+    well; a pair belongs to the list of the first position at which it matches.
     """
     words, held, size = np.ascontiguousarray(prints).view(np.uint64), [], 0
     later = np.arange(p + 1, POSITIONS)
     order = np.argsort(prints[:, later], axis=0, kind="stable")
     column = np.take_along_axis(prints[:, later], order, axis=0)
+    none = np.empty(0, np.int64)
 
-    def forest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spanning() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, y, differ = (np.concatenate(c) for c in zip(*held, strict=True))
-        root, made, nearest = list(range(len(prints))), [], np.argsort(differ, kind="stable")
-        for at, i, j in zip(nearest.tolist(), x[nearest].tolist(), y[nearest].tolist(), strict=True):
-            u, v = _find(root, i), _find(root, j)
-            if u != v:
-                root[max(u, v)] = min(u, v)
-                made.append(at)
+        nearest = np.argsort(differ, kind="stable")
+        made = nearest[forest(len(prints), x[nearest], y[nearest])[0]]
         return x[made], y[made], differ[made]
 
     for step in range(1, len(prints)):
@@ -238,31 +263,24 @@ def wide_links(prints: np.ndarray, roots: np.ndarray, p: int, matches: int, bits
         if not len(at):
             break
         x, y = order[at, q], order[at + step, q]
-        differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int16)
-        near = np.flatnonzero((differ <= bits) & (roots[x] != roots[y]))
-        if not len(near):
-            continue
-        x, y, q, differ = x[near], y[near], later[q[near]], differ[near]
         equal = prints[x] == prints[y]
         # The first two matches of the pair are p and q, so it is met once.
-        seen = equal[:, :p].any(axis=1) | (np.argmax(equal[:, p + 1 :], axis=1) + p + 1 != q)
-        kept = ~seen & (equal.sum(axis=1) >= matches)
-        if not kept.any():
-            continue
-        if whole:
-            yield x[kept], y[kept]
+        once = ~equal[:, :p].any(axis=1) & (np.argmax(equal[:, p + 1 :], axis=1) == q) & (equal.sum(axis=1) >= matches)
+        x, y = x[once], y[once]
+        differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int16)
+        close = differ <= bits
+        if not close.any():
             continue
-        held.append((x[kept], y[kept], differ[kept]))
+        held.append((x[close], y[close], differ[close]))
         size += len(held[-1][0])
         if size > max(1 << 18, 4 * len(prints)):
-            held = [forest()]
+            held = [spanning()]
             size = len(held[0][0])
-    if held:
-        yield forest()[:2]
+    return spanning()[:2] if held else (none, none)
 
 
-def wide_edges(nodes: DataFrame, matches: int, bits: int, whole: bool) -> DataFrame:
-    """(a, b): pairs of nodes (node bigint, root bigint, fp binary) of different roots that may be near copies: those that share at least two bytes.
+def wide_edges(nodes: DataFrame, matches: int, bits: int) -> DataFrame:
+    """(a, b): pairs of nodes (node bigint, fp binary) that connect all that may be near copies and share at least two bytes.
 
     The postings are by one byte position; a list is divided by each later position in turn, so all pairs of positions
     serve as keys while a node has one posting for each position only.
@@ -274,35 +292,34 @@ def wide_edges(nodes: DataFrame, matches: int, bits: int, whole: bool) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                prints = np.frombuffer(b"".join(x.as_py() for x in part.column(2)), np.uint8).reshape(-1, POSITIONS).astype(np.int32)
+                prints = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), np.uint8).reshape(-1, POSITIONS).astype(np.int32)
                 keys = np.concatenate([p << 8 | prints[:, p] for p in range(POSITIONS)])
                 rows = pa.array(np.tile(np.arange(part.num_rows), POSITIONS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(part.column(c).take(rows) for c in range(3))], ["key", "node", "root", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(part.column(c).take(rows) for c in range(2))], ["key", "node", "fp"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come sorted by key; a list may span batches."""
-        held_key, nodes_held, roots_held, prints_held = None, [], [], []
+        held_key, nodes_held, prints_held = None, [], []
 
         def links_held() -> Iterator[pa.RecordBatch]:
             if len(nodes_held) < 2:
                 return
-            prints, ids = np.frombuffer(b"".join(prints_held), np.uint8).reshape(-1, POSITIONS), np.array(nodes_held)
-            for x, y in wide_links(prints, np.array(roots_held), held_key >> 8, matches, bits, whole):
-                u, v = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+            ids = np.array(nodes_held)
+            x, y = wide_links(np.frombuffer(b"".join(prints_held), np.uint8).reshape(-1, POSITIONS), held_key >> 8, matches, bits)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
 
         for batch in batches:
-            for key, node, root, fp in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for key, node, fp in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if key != held_key:
                     yield from links_held()
-                    held_key, nodes_held, roots_held, prints_held = key, [], [], []
+                    held_key, nodes_held, prints_held = key, [], []
                 nodes_held.append(node)
-                roots_held.append(root)
                 prints_held.append(fp)
         yield from links_held()
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = nodes.select("node", "root", "fp").mapInArrow(index, "key int, node bigint, root bigint, fp binary")
+    postings = nodes.select("node", "fp").mapInArrow(index, "key int, node bigint, fp binary")
     return postings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tally, "a bigint, b bigint")
 
 
@@ -322,23 +339,123 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return checkpointed(map_arrow(met.select("a", "b", "x", "y"), run, "a bigint, b bigint"))
 
 
+def common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two of some sets share: a product of 0-1 matrices, some columns at a time."""
+    values, of = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.flatnonzero(np.bincount(of, minlength=len(values)) > 1)
+    column = np.full(len(values), -1)
+    column[often] = np.arange(len(often))
+    at = column[of]
+    out = np.zeros((len(sets), len(sets)))
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for first in range(0, len(often), columns):
+        a, b = np.searchsorted(at, (first, first + columns))
+        one = np.zeros((len(sets), columns), np.float32)
+        one[row[a:b], at[a:b] - first] = 1
+        out += one @ one.T
+    return out
+
+
+def tile_links(sides: np.ndarray, roots: np.ndarray, prints: np.ndarray, texts: list[bytes], matches: int, bits: int, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the near copies among the nodes of one tile: within a block, or between two (sides 0 and 1)."""
+    n, two = len(sides), bool(sides.any())
+    words, some = np.ascontiguousarray(prints).view(np.uint64), np.zeros((n, n), bool)
+    for a in range(n - 1):
+        apart = roots[a + 1 :] != roots[a]
+        b = a + 1 + np.flatnonzero(apart & (sides[a + 1 :] != sides[a]) if two else apart)
+        # Shared positional bytes are tallied first; only pairs with enough of them are compared bit by bit.
+        b = b[(prints[b] == prints[a]).sum(axis=1) >= matches]
+        some[a, b[np.bitwise_count(words[b] ^ words[a]).sum(axis=1) <= bits]] = True
+    met = np.flatnonzero(some.any(axis=0) | some.any(axis=1))
+    if not len(met):
+        return met, met
+    sets = [shingles(texts[k], width) for k in met]
+    both, size = common(sets), np.array([len(s) for s in sets])
+    alike_enough = both / np.maximum(size[:, None] + size[None] - both, 1) >= least
+    i, j = (met[x] for x in np.nonzero(some[np.ix_(met, met)] & alike_enough))
+    made = forest(n, i, j)[0]
+    return i[made], j[made]
+
+
+#: The weight of a block of a cluster: a node weighs 1, and 1 more for each WEIGHT bytes of its text.
+BLOCK, WEIGHT = 256, 1 << 16
+#: Narrow rows that are broadcast at most.
+NARROW = 200_000
+TILE = ["cluster", "p_owner", "p", "q_owner", "q"]
+
+
+def tiles(members: DataFrame, large: DataFrame) -> DataFrame:
+    """TILE, side, root, node: each node of members (cluster, root, node, weight) in all tiles that may hold a link of it.
+
+    A cluster that isn't large is one tile. In a large one, what links connect already (a root) has blocks of its own if
+    it is large itself, and the others share blocks. Every two blocks are a tile but those of one root, which needs no
+    more links: a large group of near copies makes a row for each node and block of others, not for each two nodes.
+    """
+    small = members.join(broadcast_if_small(large), "cluster", "left_anti").select("cluster", *(F.lit(0).cast("bigint").alias(c) for c in TILE[1:]), F.lit(0).alias("side"), "root", "node")
+    inner = checkpointed(members.join(broadcast_if_small(large), "cluster", "left_semi"))
+    groups = checkpointed(inner.groupBy("cluster", "root").agg(F.sum("weight").alias("w")))
+    own = checkpointed(groups.filter(F.col("w") >= BLOCK).select("cluster", "root", F.ceil(F.col("w") / BLOCK).alias("own")))
+    pools = checkpointed(groups.filter(F.col("w") < BLOCK).groupBy("cluster").agg(F.ceil(F.sum("w") / BLOCK).alias("pools")))
+    dealt = inner.join(broadcast_if_small(own), ["cluster", "root"], "left").join(broadcast_if_small(pools), "cluster", "left")
+    # Blocks of a root's own bear its number, which isn't negative.
+    block = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("node"), "own")).otherwise(F.pmod(F.xxhash64("root"), "pools"))
+    dealt = checkpointed(dealt.select("cluster", F.when(F.col("own").isNotNull(), F.col("root")).otherwise(-1).cast("bigint").alias("owner"), block.cast("bigint").alias("block"), "root", "node"))
+    blocks = checkpointed(dealt.select("cluster", "owner", "block").distinct())
+    left, right = (blocks.select("cluster", F.col("owner").alias(f"{x}_owner"), F.col("block").alias(x)) for x in "pq")
+    met = left.join(right, "cluster").filter((F.struct("p_owner", "p") <= F.struct("q_owner", "q")) & ((F.col("p_owner") != F.col("q_owner")) | (F.col("p_owner") < 0)))
+    one = met.select(*TILE, F.lit(0).alias("side"), F.col("p_owner").alias("owner"), F.col("p").alias("block"))
+    two = met.filter((F.col("p_owner") != F.col("q_owner")) | (F.col("p") != F.col("q"))).select(*TILE, F.lit(1).alias("side"), F.col("q_owner").alias("owner"), F.col("q").alias("block"))
+    placed = dealt.join(broadcast_if_small(checkpointed(one.unionByName(two))), ["cluster", "owner", "block"])
+    return small.unionByName(placed.select(*TILE, "side", "root", "node"))
+
+
+def compared(rows: DataFrame, matches: int, bits: int, width: int, least: float) -> DataFrame:
+    """(a, b): links between the nodes of each tile; rows: TILE, side, root, node, fp, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come sorted by tile and side; one tile is held at a time."""
+        now, held = None, []
+
+        def links_held() -> Iterator[pa.RecordBatch]:
+            sides, roots, nodes, prints, texts = zip(*held, strict=True)
+            i, j = tile_links(np.array(sides), np.array(roots), np.frombuffer(b"".join(prints), np.uint8).reshape(-1, POSITIONS), texts, matches, bits, width, least)
+            if len(i):
+                ids = np.array(nodes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+
+        for batch in batches:
+            for *tile, side, root, node, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile != now:
+                    if len(held) > 1:
+                        yield from links_held()
+                    now, held = tile, []
+                held.append((side, root, node, fp, text))
+        if len(held) > 1:
+            yield from links_held()
+
+    dealt = rows.select(*TILE, "side", "root", "node", "fp", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return checkpointed(dealt.repartition(*TILE).sortWithinPartitions(*TILE, "side").mapInArrow(run, "a bigint, b bigint"))
+
+
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, matches: int = 2, bits: int = 64, least: float = 0.8) -> DataFrame:
     """df without the near copies of others: of each group the row with the smallest key stays.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of least or more; groups are what
     they connect. At 0.8 they differ in some 15 % of fingerprint bits, out of reach for the index of 64-bit fingerprints
     and 3 bits. Here fingerprints have 256 bits, so that 32 byte positions can be tallied: such texts share nearly 9 of
-    them on average, others 1 in 8. All pairs that share at least matches bytes and differ in at most bits of 256
-    (15 % and four standard deviations) are checked.
+    them on average, others 1 in 8. Pairs that share at least matches bytes and differ in at most bits of 256 (15 % and
+    four standard deviations) are proposed.
 
-    Fingerprints only propose pairs; the shingles of both texts decide. First a spanning forest of each posting list is
-    checked, the nearest pairs first, and then every other proposed pair that the links found so far don't connect: so a
-    large group of near copies doesn't make all of its pairs, and yet no pair goes unchecked that could add a link.
+    Fingerprints only propose; the shingles of both texts decide. What proposals connect is a cluster. The texts of a
+    cluster are brought together once and all of its proposed pairs are checked there; a large cluster is first thinned
+    by checking a spanning forest of each posting list, and then divided into tiles of two blocks each.
 
     Texts with equal sets of shingles are one node. Of rows with equal keys and texts one stays; null keys come after all
     others.
     """
-    rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         from xxhash import xxh3_128_digest
@@ -350,26 +467,48 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
             found = shingles(bytes(view[i:j]), width)
             sets.append(xxh3_128_digest(found.tobytes()))
             prints.append(wide_fingerprint(found))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(prints, pa.binary())], ["key", "th", "same", "fp"])
+        sizes = pa.array(np.diff(ends) // WEIGHT + 1)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(prints, pa.binary()), sizes], ["key", "th", "same", "fp", "weight"])
 
-    prints = checkpointed(map_arrow(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, th bigint, same binary, fp binary"))
+    prints = checkpointed(map_arrow(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, th bigint, same binary, fp binary, weight bigint"))
+    repeats = checkpointed(prints.groupBy("key", "th").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__sim_key"), F.col("th").alias("__sim_hash")))
+    repeated = not repeats.isEmpty()
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th"))
-    nodes = checkpointed(prints.groupBy("same", "fp").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id()))
-
-    def found(rooted: DataFrame, whole: bool) -> DataFrame:
-        pairs = checkpointed(wide_edges(rooted, matches, bits, whole).distinct())
-        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.key").alias("k"), F.col("first.th").alias("t"))
-        texts = met.join(rows, F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("th"))).select("node", "text").dropDuplicates(["node"])
-        return verified(pairs, checkpointed(texts), width, least)
-
-    def rooted(edges: DataFrame) -> DataFrame:
-        return nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    near = found(nodes.withColumn("root", F.col("node")), False)
-    grouped = rooted(near.unionByName(found(checkpointed(rooted(near)), True)))
-    kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__sim_key"), F.col("first.th").alias("__sim_th"))
-    marked = df.withColumn("__sim_text", F.xxhash64(text))
-    met = marked.join(kept, F.col(key).eqNullSafe(F.col("__sim_key")) & (F.col("__sim_text") == F.col("__sim_th")), "left_semi")
-    # Equal rows have been counted as one text so far.
-    nth = F.row_number().over(Window.partitionBy(key, "__sim_text").orderBy(F.lit(0)))
-    return met.withColumn("__sim_nth", nth).filter("__sim_nth = 1").select(*(F.col(f"`{c}`") for c in df.columns))
+    nodes = prints.groupBy("same", "fp").agg(first.alias("first"), F.max("weight").alias("weight"), F.count("*").alias("n"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    proposed = checkpointed(wide_edges(nodes, matches, bits).distinct())
+    clusters = components(proposed).withColumnRenamed("root", "cluster")
+    members = checkpointed(clusters.join(nodes, "node").select("cluster", F.col("node").alias("root"), "node", "weight", "fp", F.col("first.key").alias("k"), F.col("first.th").alias("t")))
+
+    def with_text(wanted: DataFrame) -> DataFrame:
+        """wanted with the texts of the rows (k, t)."""
+        single = rows.dropDuplicates(["key", "th"]) if repeated else rows
+        return single.join(broadcast_if_small(checkpointed(wanted), NARROW), F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("th")))
+
+    large = checkpointed(members.groupBy("cluster").agg(F.sum("weight").alias("w")).filter(F.col("w") > BLOCK).select("cluster"))
+    found = []
+    if not large.isEmpty():
+        inner = members.join(broadcast_if_small(large), "cluster", "left_semi")
+        pairs = proposed.join(inner.select(F.col("node").alias("a")), "a", "left_semi")
+        found.append(verified(pairs, checkpointed(with_text(inner).select("node", "text")), width, least))
+        members = checkpointed(members.drop("root").join(components(found[0]), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    placed = tiles(members.select("cluster", "root", "node", "weight"), large).join(members.select("node", "fp", "k", "t"), "node")
+    found.append(compared(with_text(placed), matches, bits, width, least))
+    roots = components(reduce(DataFrame.unionByName, found))
+    kept = roots.join(nodes, "node").groupBy("root").agg(F.min("first").alias("kept"))
+    named = nodes.join(roots.join(kept, "root").select("node", "kept"), "node", "left").filter("n > 1 OR kept IS NOT NULL").select("same", "fp", "n", F.coalesce("kept", "first").alias("kept"))
+    copies = join_hot(prints, checkpointed(named), ["same", "fp"], "n").filter(~(F.col("key").eqNullSafe(F.col("kept.key")) & (F.col("th") == F.col("kept.th"))))
+    rejected = checkpointed(copies.select(F.col("key").alias("__sim_key"), F.col("th").alias("__sim_hash")).distinct())
+
+    def on(other: DataFrame) -> Column:
+        return F.col(f"`{key}`").eqNullSafe(other["__sim_key"]) & (F.col("__sim_text") == other["__sim_hash"])
+
+    few = broadcast_if_small(rejected, NARROW)
+    out = df.withColumn("__sim_text", F.xxhash64(F.col(f"`{text}`"))).join(few, on(few), "left_anti")
+    if repeated:
+        # Equal rows have been counted as one text so far.
+        some = broadcast_if_small(repeats, NARROW)
+        nth = F.row_number().over(Window.partitionBy(F.col(f"`{key}`"), "__sim_text").orderBy(F.lit(0)))
+        single = out.join(some, on(some), "left_semi").withColumn("__sim_nth", nth).filter("__sim_nth = 1").drop("__sim_nth")
+        out = out.join(some, on(some), "left_anti").unionByName(single)
+    return out.select(*(F.col(f"`{c}`") for c in df.columns))
