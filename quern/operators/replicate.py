@@ -56,7 +56,10 @@ def replicate(
     source: DocStore, target: DocStore, selector: dict | None = None, doc_ids: Sequence[str] | None = None, filter: Any = None, since: int | None = None, checkpoint: str | bool = True,
     batch_size: int = 100_000, retry: int = 0, on: Callable[[str, dict], None] = lambda event, what: None,
 ) -> dict:
-    """One-shot replication, in batches of so many changes; resumes from the checkpoint that both ends remember."""
+    """One-shot replication, in batches of so many changes; resumes from the checkpoint that both ends remember.
+
+    Revisions that the target's accept condition refuses count as failures and raise the event denied.
+    """
     name = replication_id(source.folder, target.folder, None if filter is None else str(filter), doc_ids, None, selector)
     result = {"ok": True, "docs_read": 0, "docs_written": 0, "doc_write_failures": 0, "last_seq": 0, "status": "complete"}
     start = since if since is not None else min(_checkpoint(source, name), _checkpoint(target, name)) if checkpoint else 0
@@ -67,9 +70,10 @@ def replicate(
             high = source.update_seq()
             while start < high:
                 end = min(high, start + batch_size)
-                written = _batch(source, target, start, end, selector, doc_ids, filter)
-                result["docs_read"] += written
+                read, written = _batch(source, target, start, end, selector, doc_ids, filter, on)
+                result["docs_read"] += read
                 result["docs_written"] += written
+                result["doc_write_failures"] += read - written
                 start = end
                 if checkpoint:
                     for store in (source, target):
@@ -89,11 +93,42 @@ def replicate(
     return result
 
 
-def _batch(source: DocStore, target: DocStore, start: int, end: int, selector: dict | None, doc_ids: Sequence[str] | None, filter: Any) -> int:
-    log = source.log()
-    changed = winners(log).filter((F.col("last_seq") > start) & (F.col("last_seq") <= end))
+class Replication:
+    """A live replication: what is written to the source's log goes to the target, micro-batch by micro-batch, until cancel()."""
+
+    def __init__(self, source: DocStore, target: DocStore, folder: str, on: Callable[[str, dict], None] = lambda event, what: None, **options: Any):
+        self.on, self.result = on, {"ok": True, "docs_read": 0, "docs_written": 0, "doc_write_failures": 0, "last_seq": 0, "status": "active"}
+        stream = source.spark.readStream.schema(LOG).option("recursiveFileLookup", "true").parquet(f"{source.folder}/log")
+
+        def run(batch: DataFrame, _: int) -> None:
+            # A repeated batch finds its changes at the target already.
+            done = replicate(source, target, on=lambda event, what: on(event, what) if event in ("denied", "change") else None, **options)
+            for k in ("docs_read", "docs_written", "doc_write_failures"):
+                self.result[k] += done[k]
+            self.result["last_seq"] = done["last_seq"]
+            on("paused", {})
+
+        on("active", {})
+        self.query = stream.writeStream.foreachBatch(run).option("checkpointLocation", folder).trigger(processingTime="1 second").start()
+
+    def cancel(self) -> dict:
+        """Stop after what is there now has been handed on."""
+        self.query.processAllAvailable()
+        self.query.stop()
+        self.result["status"] = "cancelled"
+        self.on("complete", self.result)
+        return self.result
+
+
+def _batch(source: DocStore, target: DocStore, start: int, end: int, selector: dict | None, doc_ids: Sequence[str] | None, filter: Any, on: Callable[[str, dict], None]) -> tuple[int, int]:
+    """How many revisions were read and written of the documents whose last change lies after start and up to end."""
+    whole = source.log()
+    touched = whole.filter((F.col("seq") > start) & (F.col("seq") <= end))
     if doc_ids is not None:
-        changed = changed.filter(F.col("id").isin(list(doc_ids)))
+        touched = touched.filter(F.col("id").isin(list(doc_ids)))
+    # Only the documents that changed in this range are read whole; those that change again later come with that batch.
+    log = whole.join(touched.select("id").distinct(), "id", "left_semi")
+    changed = winners(log).filter(F.col("last_seq") <= end)
     if selector is not None or filter is not None:
         changed = changed.withColumn("doc", F.parse_json("body"))
         if selector is not None:
@@ -101,16 +136,21 @@ def _batch(source: DocStore, target: DocStore, start: int, end: int, selector: d
         if filter is not None:
             changed = changed.filter(filter)
     wanted = leaves(log).join(changed.select("id"), "id", "left_semi")
-    missing = revs_diff(wanted.withColumn("rev", rev()), target.log().withColumn("rev", rev()))
-    held = target._held(missing.withColumn("pos", F.col("seq")))
-    n = held.count()
-    if n:
-        blobs = held.filter("attachments IS NOT NULL").select(F.explode(F.map_values("attachments"))).select("col.digest").distinct()
+    there = target.log().join(touched.select("id").distinct(), "id", "left_semi")
+    missing = revs_diff(wanted.withColumn("rev", rev()), there.withColumn("rev", rev()))
+    held = target._held(missing.withColumn("pos", F.col("seq")).withColumn("__ok", F.coalesce(target.accept(F.parse_json("body")), F.lit(False)) if target.accept else F.lit(True)))
+    n, good = held.agg(F.count("*"), F.count_if("__ok")).first()
+    if n > good:
+        on("denied", {"docs": [r["id"] for r in held.filter("NOT __ok").select("id").limit(100).collect()]})
+    if good:
+        new = held.filter("__ok").drop("__ok")
+        blobs = new.filter("attachments IS NOT NULL").select(F.explode(F.map_values("attachments"))).select("col.digest").distinct()
         if source._exists("blobs"):
             there = target._table("blobs", BLOBS)
             target._append("blobs", source._table("blobs", BLOBS).join(blobs, "digest", "left_semi").join(there, "digest", "left_anti"))
-        target._store_revisions(held)
-    return n
+        target._store_revisions(new)
+    target._release()
+    return n, good
 
 
 def _checkpoint(store: DocStore, name: str) -> int:

@@ -2,9 +2,11 @@
 
 The log has a row per revision: id, gen and hash (its name is gen-hash), path (its hash and those of its ancestors,
 newest first), deleted, body (JSON text; null once compacted), attachments, and seq, the position of the write that
-brought it. Each write appends a batch with one writer; readers see the batches that its manifest lists. The leaves of a
-document are its revisions that no other one descends from; the winner is the leaf that isn't deleted, then of the greatest
-generation, then of the greatest hash.
+brought it. Each write appends files, with one writer at a time. What rewrites a table (compacting, purging) writes a new
+version of it in a folder of its own and then names it in the manifest, by an empty file that is made in one step: readers
+take the last version that is named, so that a crash leaves the old one in place. The leaves of a document are its
+revisions that no other one descends from, however many revisions between them are unknown; the winner is the leaf that
+isn't deleted, then of the greatest generation, then of the greatest hash.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.errors import NotFound, QueryError
+from quern.operators.alldocs import all_docs
+
 
 def struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields])
@@ -32,7 +36,9 @@ LOG = struct(("id", STRING), ("gen", INT), ("hash", STRING), ("path", T.ArrayTyp
 LOCAL = struct(("id", STRING), ("rev", INT), ("body", STRING), ("deleted", BOOL), ("at", LONG))
 BLOBS = struct(("digest", STRING), ("data", T.BinaryType()))
 WRITES = struct(("pos", INT), ("id", STRING), ("rev", STRING), ("deleted", BOOL), ("body", STRING), ("attachments", ATTACHMENTS), ("path", T.ArrayType(STRING)), ("force", BOOL), ("valid", BOOL))
-REVS_LIMIT = 1000
+REVS_LIMIT, REVS_MOST = 1000, (1 << 31) - 1
+#: Written ids that a read of the log is restricted to by a pushed filter; more of them by a join.
+FEW = 1000
 
 
 def rev(gen: str | Column = "gen", hash: str | Column = "hash") -> Column:
@@ -45,10 +51,15 @@ def revision_hash(parent: Column, deleted: Column, body: Column) -> Column:
 
 
 def leaves(log: DataFrame) -> DataFrame:
-    """Revisions that no other revision of the document has among its ancestors; one row each."""
+    """Revisions that no other revision of the document has among its ancestors; one row each.
+
+    Whole ancestries count, as the revisions in between may be missing here. Ancestors that many revisions share are
+    combined before the shuffle.
+    """
     once = log.groupBy("id", "gen", "hash").agg(F.max_by(F.struct(*[c for c in log.columns if c not in ("id", "gen", "hash")]), "seq").alias("r")).select("id", "gen", "hash", "r.*")
-    parents = log.filter(F.size("path") > 1).select("id", (F.col("gen") - 1).alias("gen"), F.element_at("path", 2).alias("hash")).distinct()
-    return once.join(parents, ["id", "gen", "hash"], "left_anti")
+    above = log.filter(F.size("path") > 1).select("id", "gen", F.posexplode(F.slice("path", 2, REVS_MOST)).alias("pos", "hash"))
+    ancestors = above.select("id", (F.col("gen") - 1 - F.col("pos")).cast("int").alias("gen"), "hash").distinct()
+    return once.join(ancestors, ["id", "gen", "hash"], "left_anti")
 
 
 def winners(log: DataFrame) -> DataFrame:
@@ -72,6 +83,9 @@ class DocStore:
         self.auto_compaction, self.revs_limit, self.deterministic = auto_compaction, revs_limit, deterministic_revs
         self.listeners: dict[str, list[Callable[[dict], None]]] = {}
         self.tasks: list[dict] = []
+        self.batches: list[str] = []
+        #: What replication may write here: a condition on the body (a VARIANT).
+        self.accept: Callable[[Column], Column] | None = None
         self.closed = False
         self.emit("created", {"name": self.name})
 
@@ -96,6 +110,7 @@ class DocStore:
             listener(what)
 
     def close(self) -> None:
+        self._release()
         self.closed = True
 
     def __enter__(self) -> DocStore:
@@ -110,26 +125,35 @@ class DocStore:
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def _version(self, part: str) -> int:
+        """The last version of a table that the manifest names; the first one needs no name."""
+        fs, path = self._fs()
+        manifest = path(f"{self.folder}/manifest")
+        names = [f.getPath().getName() for f in fs.listStatus(manifest)] if fs.exists(manifest) else []
+        return max((int(n.rsplit("-", 1)[1]) for n in names if n.rsplit("-", 1)[0] == part), default=0)
+
+    def _path(self, part: str) -> str:
+        return f"{self.folder}/{part}/{self._version(part)}"
+
     def _exists(self, part: str) -> bool:
         fs, path = self._fs()
-        return fs.exists(path(f"{self.folder}/{part}"))
+        return fs.exists(path(self._path(part)))
 
     def _table(self, part: str, schema: T.StructType) -> DataFrame:
         if self.closed:
             raise QueryError("the store is closed")
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{part}") if self._exists(part) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._path(part)) if self._exists(part) else self.spark.createDataFrame([], schema)
 
     def _append(self, part: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.folder}/{part}")
+        rows.write.mode("append").parquet(self._path(part))
 
     def _replace(self, part: str, rows: DataFrame) -> None:
-        """Write rows beside the old table and only then put them in its place."""
+        """Write a new version of a table, name it, and only then delete the old one."""
         fs, path = self._fs()
-        fresh, old = f"{self.folder}/.{part}-{uuid.uuid4().hex}", f"{self.folder}/.{part}-old-{uuid.uuid4().hex}"
-        rows.write.parquet(fresh)
-        if self._exists(part):
-            fs.rename(path(f"{self.folder}/{part}"), path(old))
-        fs.rename(path(fresh), path(f"{self.folder}/{part}"))
+        old, new = self._path(part), self._version(part) + 1
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{part}/{new}")
+        fs.mkdirs(path(f"{self.folder}/manifest"))
+        fs.create(path(f"{self.folder}/manifest/{part}-{new}"), False).close()
         fs.delete(path(old), True)
 
     def destroy(self) -> None:
@@ -151,18 +175,47 @@ class DocStore:
     def winners(self) -> DataFrame:
         return winners(self.log())
 
-    def docs(self, variant: bool = False) -> DataFrame:
-        """Live documents: _id, _rev and body as JSON text, or as a VARIANT."""
+    def docs(self, variant: bool = False, conflicts: bool = False) -> DataFrame:
+        """Live documents: _id, _rev and body as JSON text, or as a VARIANT; with conflicts also _conflicts."""
         live = self.winners().filter("NOT deleted")
-        return live.select(F.col("id").alias("_id"), rev().alias("_rev"), F.parse_json("body").alias("doc") if variant else F.col("body"))
+        more = [F.col("conflicts").alias("_conflicts")] if conflicts else []
+        return live.select(F.col("id").alias("_id"), rev().alias("_rev"), F.parse_json("body").alias("doc") if variant else F.col("body"), *more)
+
+    def all_docs(self, include_docs: bool = False, conflicts: bool = False, keys: Sequence[str] | None = None, **options: Any) -> DataFrame:
+        """Rows id, key, value (rev, deleted), doc as JSON text, and error, in the order of ids or of the given keys.
+
+        Deleted documents come only with keys, without a doc; keys that were never there have the error not_found.
+        """
+        known = self.winners().withColumnRenamed("id", "_id")
+        if keys is None:
+            known = known.filter("NOT deleted")
+        elif len(keys) <= FEW:
+            known = winners(self.log().filter(F.col("id").isin(list(keys)))).withColumnRenamed("id", "_id")
+        rows = all_docs(known, "_id", keys, **options)
+        there = F.col("gen").isNotNull()
+        value = F.when(there, F.struct(rev().alias("rev"), F.when(F.col("deleted"), True).alias("deleted")))
+        out = [F.when(there, F.col("_id")).alias("id"), F.col("_id").alias("key"), value.alias("value")]
+        out += [F.when(~F.col("deleted"), F.col("body")).alias("doc")] if include_docs else []
+        out += [F.when(~F.col("deleted"), F.col("conflicts")).alias("conflicts")] if conflicts else []
+        return rows.select(*out, (F.col("__error") if keys is not None else F.lit(None).cast("string")).alias("error"))
+
+    def all_docs_result(self, update_seq: bool = False, **options: Any) -> dict:
+        """all_docs as one small result, with total_rows and offset."""
+        rows = [{k: v for k, v in r.asDict(recursive=True).items() if v is not None or k == "doc"} for r in self.all_docs(**options).collect()]
+        for r in rows:
+            if r.get("value") and not r["value"]["deleted"]:
+                del r["value"]["deleted"]
+        total, last = self.docs().count(), {"update_seq": self.update_seq()} if update_seq else {}
+        return {"total_rows": total, "offset": int(options.get("skip", 0))} | last | {"rows": rows}
 
     # Writes
     def bulk_docs(self, docs: Iterable[dict] | DataFrame, new_edits: bool = True) -> DataFrame:
         """Write documents; (pos, id, rev, ok, error) for each, in order. Those that conflict are refused one by one."""
-        rows = docs if isinstance(docs, DataFrame) else self._rows(docs, new_edits)
+        listed = None if isinstance(docs, DataFrame) else list(docs)
+        rows = docs if listed is None else self._rows(listed, new_edits)
         if not new_edits:
             return self._store_revisions(rows)
-        log = self.log()
+        log = self._of(rows, listed)
         known = winners(log).select("id", F.col("gen").alias("w_gen"), F.col("hash").alias("w_hash"), F.col("deleted").alias("w_deleted"), F.col("path").alias("w_path"), F.col("attachments").alias("w_att"))
         found = leaves(log).select("id", rev().alias("rev"), F.col("path").alias("l_path"), F.col("attachments").alias("l_att"))
         met = rows.join(known, "id", "left").join(found, ["id", "rev"], "left")
@@ -182,7 +235,19 @@ class DocStore:
         if self.auto_compaction:
             self.compact()
         error = F.when(~F.col("valid"), "bad_request").when(~F.col("ok"), "conflict")
-        return held.select("pos", "id", F.when(F.col("ok"), rev()).alias("rev"), "ok", error.alias("error")).orderBy("pos")
+        out = held.select("pos", "id", F.when(F.col("ok"), rev()).alias("rev"), "ok", error.alias("error")).orderBy("pos")
+        if listed is None:
+            return out
+        # What came from a list goes back as one.
+        result = self.spark.createDataFrame(out.collect(), out.schema)
+        self._release()
+        return result
+
+    def _of(self, rows: DataFrame, listed: list[dict] | None) -> DataFrame:
+        """The log of the documents that rows (id, ...) are about: by a filter that reaches the scan if they are few."""
+        if listed is not None and len(listed) <= FEW:
+            return self.log().filter(F.col("id").isin([d["_id"] for d in listed if isinstance(d.get("_id"), str)]))
+        return self.log().join(rows.select("id").distinct(), "id", "left_semi")
 
     def _numbered(self, rows: DataFrame) -> DataFrame:
         """rows with the sequences that follow the last one, in the order of pos: numbered in many parts side by side."""
@@ -199,8 +264,15 @@ class DocStore:
         """rows, written down once, so that all that follows sees the same."""
         path = f"{self.folder}/.batch-{uuid.uuid4().hex}"
         rows.write.parquet(path)
+        self.batches.append(path)
         return self.spark.read.parquet(path)
 
+    def _release(self) -> None:
+        """Delete what _held wrote down. Results of DataFrames that were written stay readable until close()."""
+        fs, path = self._fs()
+        while self.batches:
+            fs.delete(path(self.batches.pop()), True)
+
     def _rows(self, docs: Iterable[dict], new_edits: bool) -> DataFrame:
         out, blobs = [], []
         for pos, doc in enumerate(docs):
@@ -258,16 +330,20 @@ class DocStore:
         return self.post({"_id": id, "_rev": rev, "_deleted": True})
 
     # Point reads
-    def get(self, id: str, rev: str | None = None, revs: bool = False, revs_info: bool = False, open_revs: Any = None, conflicts: bool = False, attachments: bool = False, latest: bool = False) -> Any:
+    def get(
+        self, id: str, rev: str | None = None, revs: bool = False, revs_info: bool = False, open_revs: Any = None, conflicts: bool = False, attachments: bool = False, latest: bool = False,
+        binary: bool = False,
+    ) -> Any:
+        """A document as a dict: its winner, or the named revision. attachments come as base64 text, or with binary as bytes."""
         if id.startswith("_local/"):
             return self.get_local(id)
         own = self.log().filter(F.col("id") == id)
         if open_revs is not None:
             found = {f"{r['gen']}-{r['hash']}": r for r in leaves(own).collect()}
             if open_revs == "all":
-                return [{"ok": self._document(r, attachments)} for r in found.values()]
+                return [{"ok": self._document(r, attachments, binary)} for r in found.values()]
             every = {f"{r['gen']}-{r['hash']}": r for r in own.collect()}
-            return [{"ok": self._document(every[x], attachments)} if x in every else {"missing": x} for x in open_revs]
+            return [{"ok": self._document(every[x], attachments, binary)} if x in every else {"missing": x} for x in open_revs]
         best = winners(own).first()
         if best is None or (rev is None and best["deleted"]):
             raise NotFound("deleted" if best is not None else "missing")
@@ -280,7 +356,7 @@ class DocStore:
                 row = max(below, key=lambda r: (not r["deleted"], r["gen"], r["hash"])) if below else row
             if row is None or row["body"] is None:
                 raise NotFound()
-        out = self._document(row, attachments)
+        out = self._document(row, attachments, binary)
         if revs:
             out["_revisions"] = {"start": row["gen"], "ids": list(row["path"])}
         if revs_info:
@@ -290,7 +366,7 @@ class DocStore:
             out["_conflicts"] = list(best["conflicts"])
         return out
 
-    def _document(self, row: Any, attachments: bool) -> dict:
+    def _document(self, row: Any, attachments: bool, binary: bool = False) -> dict:
         out = {"_id": row["id"], "_rev": f"{row['gen']}-{row['hash']}"} | json.loads(row["body"] or "{}")
         if row["deleted"]:
             out["_deleted"] = True
@@ -301,20 +377,30 @@ class DocStore:
                 if attachments:
                     from base64 import b64encode
 
-                    out["_attachments"][name] = stub | {"data": b64encode(self._blob(a["digest"])).decode()}
+                    data = self._blob(a["digest"])
+                    out["_attachments"][name] = stub | {"data": data if binary else b64encode(data).decode()}
                 else:
                     out["_attachments"][name] = stub | {"stub": True, "length": a["length"]}
         return out
 
-    def bulk_get(self, docs: list[dict]) -> DataFrame:
-        """(pos, id, rev, body, deleted, error): each asked revision, or all leaves where none is named."""
+    def bulk_get(self, docs: list[dict], revs: bool = False, attachments: bool = False, latest: bool = False) -> DataFrame:
+        """(pos, id, rev, body, deleted, error): each asked revision, or all leaves where none is named.
+
+        revs adds the ancestry (path), attachments their stubs, latest gives the leaves below an asked revision instead.
+        """
         asked = self.spark.createDataFrame([(k, d["id"], d.get("rev")) for k, d in enumerate(docs)], "pos int, id string, asked string")
-        log = self.log().join(F.broadcast(asked.select("id").distinct()), "id", "left_semi")
-        named = asked.filter("asked IS NOT NULL").join(log.withColumn("asked", rev()).dropDuplicates(["id", "asked"]), ["id", "asked"], "left")
+        log = self._of(asked, [{"_id": d["id"]} for d in docs])
+        rows = log.withColumn("asked", rev()).dropDuplicates(["id", "asked"])
+        if latest:
+            tips = leaves(log)
+            below = tips.withColumn("asked", F.explode(F.transform("path", lambda h, k: F.concat_ws("-", (F.col("gen") - k).cast("string"), h))))
+            rows = below.select(*rows.columns)
+        named = asked.filter("asked IS NOT NULL").join(rows, ["id", "asked"], "left")
         whole = asked.filter("asked IS NULL").join(leaves(log), "id", "left")
         out = named.unionByName(whole, allowMissingColumns=True)
         shown = F.when(F.col("gen").isNotNull(), rev()).otherwise(F.col("asked"))
-        return out.select("pos", "id", shown.alias("rev"), "body", "deleted", F.when(F.col("gen").isNull(), "not_found").alias("error")).orderBy("pos", "rev")
+        more = (["path"] if revs else []) + (["attachments"] if attachments else [])
+        return out.select("pos", "id", shown.alias("rev"), "body", "deleted", *more, F.when(F.col("gen").isNull(), "not_found").alias("error")).orderBy("pos", "rev")
 
     # Attachments
     def _blob(self, digest: str) -> bytes:

@@ -51,10 +51,10 @@ class Changes:
         self.filters[name] = made
 
     def changes(
-        self, since: int | str = 0, limit: int | None = None, descending: bool = False, include_docs: bool = False, conflicts: bool = False, style: str = "main_only",
+        self, since: int | str = 0, limit: int | None = None, descending: bool = False, include_docs: bool = False, conflicts: bool = False, attachments: bool = False, style: str = "main_only",
         doc_ids: Sequence[str] | None = None, selector: dict | None = None, filter: str | Column | None = None, query_params: dict | None = None, view: ViewSpec | None = None, log: DataFrame | None = None,
     ) -> DataFrame:
-        """Rows id, seq, changes (revisions), deleted, and doc and conflicts if asked for.
+        """Rows id, seq, changes (revisions), deleted, and doc, conflicts and attachments (stubs) if asked for.
 
         The filter '_view' passes documents of which the view emits a row.
         """
@@ -84,7 +84,7 @@ class Changes:
             rows = rows.join(tips, "id")
         else:
             rows = rows.withColumn("changes", F.array(F.struct(rev().alias("rev"))))
-        out = rows.select("id", F.col("last_seq").alias("seq"), "changes", "deleted", *(["doc"] if include_docs else []), *(["conflicts"] if conflicts else []))
+        out = rows.select("id", F.col("last_seq").alias("seq"), "changes", "deleted", *(["doc"] if include_docs else []), *(["conflicts"] if conflicts else []), *(["attachments"] if attachments else []))
         out = out.orderBy(F.col("seq").desc() if descending else F.col("seq").asc())
         return out.limit(max(1, number(limit, "limit"))) if limit is not None else out
 

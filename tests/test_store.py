@@ -213,3 +213,95 @@ def test_random_actions_converge(spark, tmp_path):
     sync(*stores)
     assert same_state(*stores)
     assert sorted(map(str, stores[0].docs().collect())) == sorted(map(str, stores[1].docs().collect()))
+
+
+def test_deletions_stay_deleted(spark, store, tmp_path):
+    other = DocStore(spark, str(tmp_path / "b"))
+    store.put({"_id": "x", "n": 1})
+    replicate(store, other)
+    rev = store.put({"_id": "x", "_rev": store.get("x")["_rev"], "n": 2})["rev"]
+    store.remove("x", rev)
+    replicate(store, other)
+    # The second revision was never sent; the first one is an ancestor all the same.
+    assert other.log().count() == 2 and [(r["gen"], r["deleted"]) for r in leaves(other.log()).collect()] == [(3, True)]
+    assert other.docs().count() == 0 and same_state(store, other)
+
+
+def test_random_actions_converge_step_by_step(spark, tmp_path):
+    import random
+
+    draw = random.Random(11)
+    stores = [DocStore(spark, str(tmp_path / n)) for n in "xy"]
+    for step in range(9):
+        store = draw.choice(stores)
+        id_ = f"d{draw.randrange(2)}"
+        try:
+            known = {"_rev": store.get(id_)["_rev"]}
+        except NotFound:
+            known = {}
+        store.post({"_id": id_, "n": step} | known | ({"_deleted": True} if known and draw.random() < 0.4 else {}))
+        if draw.random() < 0.6:
+            replicate(*draw.sample(stores, 2))
+    sync(*stores)
+    assert same_state(*stores)
+    assert sorted(map(str, stores[0].docs().collect())) == sorted(map(str, stores[1].docs().collect()))
+
+
+def test_all_docs_of_a_store(store):
+    store.bulk_docs([{"_id": k, "n": k} for k in "abc"])
+    gone = store.remove("b", store.get("b")["_rev"])["rev"]
+    found = store.all_docs_result(include_docs=True, update_seq=True)
+    assert [r["id"] for r in found["rows"]] == ["a", "c"] and (found["total_rows"], found["offset"], found["update_seq"]) == (2, 0, 4)
+    assert found["rows"][0]["value"] == {"rev": store.get("a")["_rev"]} and found["rows"][0]["doc"] == '{"n": "a"}'
+    rows = store.all_docs_result(keys=["c", "b", "x"], include_docs=True)["rows"]
+    assert [r["key"] for r in rows] == ["c", "b", "x"] and rows[1]["value"] == {"rev": gone, "deleted": True} and rows[1]["doc"] is None
+    assert rows[2]["error"] == "not_found" and "id" not in rows[2]
+    assert [r["id"] for r in store.all_docs_result(descending=True, limit=1)["rows"]] == ["c"]
+
+
+def test_writes_read_only_their_documents(store, spark, tmp_path):
+    store.bulk_docs([{"_id": f"d{k}"} for k in range(5)])
+    plan = store._of(store.log(), [{"_id": "d1"}])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,d1)]" in plan
+    assert not [p.name for p in tmp_path.joinpath("a").iterdir() if p.name.startswith(".batch-")]
+
+
+def test_new_versions_are_named_last(store, spark, tmp_path):
+    store.bulk_docs([{"_id": "a"}, {"_id": "b"}])
+    # A crash before the name leaves the old version, and its remains don't hinder the next try.
+    store.log().limit(0).write.parquet(f"{store.folder}/log/1")
+    assert store.docs().count() == 2
+    store.compact()
+    assert store.docs().count() == 2 and DocStore(spark, store.folder).update_seq() == 2
+    assert sorted(p.name for p in tmp_path.joinpath("a", "log").iterdir()) == ["1"]
+    store.put({"_id": "c"})
+    assert store.docs().count() == 3
+
+
+def test_refused_revisions(spark, store, tmp_path):
+    other, events = DocStore(spark, str(tmp_path / "b")), []
+    other.accept = lambda doc: F.try_variant_get(doc, "$.n", "int") < 2
+    store.bulk_docs([{"_id": f"d{k}", "n": k} for k in range(3)])
+    result = replicate(store, other, on=lambda event, what: events.append((event, what)))
+    assert (result["docs_read"], result["docs_written"], result["doc_write_failures"]) == (3, 2, 1)
+    assert [w["docs"] for e, w in events if e == "denied"] == [["d2"]]
+
+
+def test_live_replication(spark, store, tmp_path):
+    from quern.operators.replicate import Replication
+
+    other, events = DocStore(spark, str(tmp_path / "b")), []
+    store.put({"_id": "a"})
+    live = Replication(store, other, str(tmp_path / "checkpoint"), lambda event, what: events.append(event))
+    live.query.processAllAvailable()
+    store.put({"_id": "b"})
+    assert live.cancel()["docs_written"] == 2 and same_state(store, other) and events[0] == "active" and events[-1] == "complete"
+
+
+def test_bulk_get_options(store):
+    store.bulk_docs(REVS, new_edits=False)
+    (row,) = store.bulk_get([{"id": "d", "rev": "2-b"}], revs=True, attachments=True).collect()
+    assert row["path"] == ["b", "a"] and row["attachments"] == {}
+    assert {r["rev"] for r in store.bulk_get([{"id": "d", "rev": "1-a"}], latest=True).collect()} == {"3-z", "2-c", "2-bb"}
+    rev = store.put_attachment("x", "a", None, b"\0\1", "t")["rev"]
+    assert store.get("x", rev=rev, attachments=True, binary=True)["_attachments"]["a"]["data"] == b"\0\1"
