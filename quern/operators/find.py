@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json as json_text
 from dataclasses import dataclass
 from typing import Any
 
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from quern.errors import QueryError
 from quern.functions import collate
-from quern.plans.indexes import ALL_DOCS, WARNING, Catalog, Index, key_range, parse_fields
+from quern.plans.indexes import ALL_DOCS, WARNING, Catalog, Index, key_range, parse_fields, state_of
 from quern.plans.selector import Compiler, Typed, Variant, compile_selector, normal_form, parse_path, validate
 
 DEFAULT_LIMIT = 25
@@ -155,7 +156,8 @@ class Collection:
         return index
 
     def source(self, index: Index) -> DataFrame:
-        if index.path is not None:
+        """What find reads: an index's sorted copy, unless the collection is another one than that was made of."""
+        if index.path is not None and index.state == state_of(self.df):
             return self.df.sparkSession.read.parquet(index.path)
         return self.df
 
@@ -166,10 +168,10 @@ class Collection:
         df = self.source(index)
         compiler = Compiler(df, self.id_col, self.variant)
         found = df.filter(compiler.compile(r.selector))
-        if index.partial is not None and index.path is None:
-            found = found.filter(compile_selector(df, __import__("json").loads(index.partial), self.id_col, self.variant))
-        if isinstance(df.schema[self.id_col].dataType, T.StringType) and self.id_col == "_id":
-            found = found.filter(~F.col("_id").startswith("_design/"))
+        if index.partial is not None:
+            found = found.filter(compile_selector(df, json_text.loads(index.partial), self.id_col, self.variant))
+        if isinstance(df.schema[self.id_col].dataType, T.StringType):
+            found = found.filter(~F.col(f"`{self.id_col}`").startswith("_design/"))
         found = found.orderBy(*order(compiler, list(r.sort) or [(f, "asc") for f in index.names if f != "_id"]))
         if r.skip:
             found = found.offset(r.skip)

@@ -397,13 +397,17 @@ def compile_selector(df: DataFrame, selector: dict, id_col: str = "_id", variant
 
 
 def normal_form(selector: dict) -> dict:
-    """The selector as explain() shows it: bare values as $eq, $and flattened, and $and multiplied out over $or."""
+    """The selector as explain() shows it: bare values as $eq, $and flattened, and $and multiplied out over $or.
+
+    Conditions that can't be merged into one per operator stay, under $and.
+    """
 
     def field(x: Any) -> Any:
         return x if isinstance(x, dict) else {"$eq": x}
 
     flat: dict[str, Any] = {}
     alternatives: list[list[dict]] = []
+    others: list[dict] = []
 
     def add(s: dict) -> None:
         for key, x in s.items():
@@ -412,38 +416,41 @@ def normal_form(selector: dict) -> dict:
                     add(part)
             elif key == "$or":
                 alternatives.append([normal_form(part) for part in x])
-            elif key in ("$nor", "$not"):
-                flat.setdefault(key, x)
+            elif key == "$nor":
+                flat[key] = [*flat.get(key, []), *x]
+            elif key == "$not":
+                others.append({key: x}) if key in flat else flat.update({key: x})
             else:
                 for op, y in field(x).items():
-                    merge_bound(flat.setdefault(key, {}), op, y)
+                    if not merge_bound(flat.setdefault(key, {}), op, y):
+                        others.append({key: {op: y}})
 
     add(selector)
     if alternatives:
         product: list[dict] = alternatives[0]
         for other in alternatives[1:]:
-            product = [a | b for a in product for b in other]
+            product = [normal_form({"$and": [a, b]}) for a in product for b in other]
         flat["$or"] = product
+    if others:
+        flat["$and"] = others
     return flat
 
 
-def merge_bound(into: dict, op: str, x: Any) -> None:
-    """Bounds on one field that say the same become the tighter one; several patterns stay side by side."""
-    if op in ("$gt", "$gte"):
-        for other in ("$gt", "$gte"):
-            if other in into:
-                c = collate.compare(x, into[other])
-                if c < 0 or (c == 0 and not (op == "$gt" and other == "$gte")):
-                    return
-                del into[other]
-    if op in ("$lt", "$lte"):
-        for other in ("$lt", "$lte"):
+def merge_bound(into: dict, op: str, x: Any) -> bool:
+    """Bounds on one field that say the same become the tighter one; several patterns stay side by side. False if x can't be added."""
+    for kind, sign in ((("$gt", "$gte"), 1), (("$lt", "$lte"), -1)):
+        if op not in kind:
+            continue
+        for other in kind:
             if other in into:
-                c = collate.compare(x, into[other])
-                if c > 0 or (c == 0 and not (op == "$lt" and other == "$lte")):
-                    return
+                c = sign * collate.compare(x, into[other])
+                if c < 0 or (c == 0 and not (op == kind[0] and other == kind[1])):
+                    return True
                 del into[other]
     if op in ("$regex", "$ne") and op in into:
         into[op] = [*(into[op] if isinstance(into[op], list) else [into[op]]), x]
+    elif op in into:
+        return collate.rank(into[op]) == collate.rank(x) and into[op] == x
     else:
         into[op] = x
+    return True

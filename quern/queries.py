@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +12,11 @@ from pyspark.sql import functions as F
 from quern.operators.alldocs import all_docs, next_page, prefix
 from quern.operators.find import Collection
 from quern.operators.gql import gql
-from quern.operators.replicate import merge, revs_diff
-from quern.operators.views import Emit, ViewSpec, map_rows, query
+from quern.operators.replicate import merge, replicate, revs_diff, sync
+from quern.operators.views import Emit, Views, ViewSpec, map_rows, query
 from quern.plans.selector import compile_selector
-from quern.store import leaves, winners
-from quern.streaming.changes import feed
+from quern.store import DocStore, leaves, rev, winners
+from quern.streaming.changes import Changes, feed, views_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -383,3 +385,341 @@ def revs_diff_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replicate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = revisions(spark, sf_dir)
     return merge(r.filter("gen < 3").select("id", "gen", "hash", "path"), r.filter("gen > 1 AND NOT deleted").select("id", "gen", "hash", "path")).select("id", "gen", "hash")
+
+
+# More of find
+@registered("SELECT o_orderkey FROM orders WHERE o_totalprice > 50000 AND (o_orderstatus = 'F' OR o_orderstatus = 'P') AND o_totalprice < 90000")
+def find_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selector = {"$and": [{"o_totalprice": {"$gt": 50000}}, {"$or": [{"o_orderstatus": "F"}, {"o_orderstatus": "P"}]}, {"o_totalprice": {"$lt": 90000}}]}
+    return filtered(spark, sf_dir, "orders", selector, "o_orderkey", ["o_orderkey"])
+
+
+def customers_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("_id"), "c_custkey", place.alias("place"), F.struct(place.alias("place")).alias("deep"), F.col("c_name").alias("name.full"))
+
+
+def of_customers(spark: SparkSession, sf_dir: str, selector: dict) -> DataFrame:
+    return Collection(customers_as_documents(spark, sf_dir)).find({"selector": selector, "fields": ["c_custkey"], "limit": None})
+
+
+@registered("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey > 10")
+def find_dotted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_customers(spark, sf_dir, {"deep.place.segment": "BUILDING", "deep.place.nation": {"$gt": 10}, "deep.nothing.more": {"$exists": False}})
+
+
+@registered("SELECT c_custkey FROM customer WHERE c_name >= 'Customer#000000100'")
+def find_escaped_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_customers(spark, sf_dir, {"name\\.full": {"$gte": "Customer#000000100"}, "name.full": {"$exists": False}})
+
+
+@registered("SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
+def find_eq_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_customers(spark, sf_dir, {"place": {"$eq": {"nation": 3, "segment": "BUILDING"}}})
+
+
+@registered("SELECT n_nationkey, n_name FROM nation")
+def find_everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(spark, sf_dir, "nation", {}, "n_nationkey", ["n_nationkey", "n_name"])
+
+
+@registered("SELECT n_nationkey FROM nation WHERE false")
+def find_empty_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(spark, sf_dir, "nation", {"n_name": {}}, "n_nationkey", ["n_nationkey"])
+
+
+@registered("SELECT c_custkey FROM customer WHERE c_nationkey < 5")
+def find_id_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds on the primary key that aren't strings: below them is nothing, above them everything."""
+    return of_customers(spark, sf_dir, {"$or": [{"_id": {"$lt": False}}, {"_id": {"$lte": {}}}, {"_id": {"$gte": []}, "place.nation": {"$lt": 5}}]})
+
+
+@registered("SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0")
+def find_without_design_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 3 == 0, "_design/").otherwise("c"), "c_custkey").alias("_id"), "c_custkey")
+    return Collection(docs).find({"selector": {}, "fields": ["c_custkey"], "limit": None})
+
+
+@registered("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 2000 ORDER BY c_acctbal, c_custkey LIMIT 30")
+def find_index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a sort, rows come in the order of the index that was chosen."""
+    docs = Collection(table(spark, sf_dir, "customer"), id_col="c_custkey")
+    docs.create_index({"fields": ["c_acctbal"]})
+    return docs.find({"selector": {"c_acctbal": {"$gt": 2000}}, "fields": ["c_custkey", "c_acctbal"], "limit": 30})
+
+
+@registered("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'F'")
+def find_partial_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partial index that is named is read from its sorted copy, and gives only what it holds."""
+    docs = Collection(table(spark, sf_dir, "orders"), id_col="o_orderkey")
+    docs.create_index({"fields": ["o_totalprice"], "partial_filter_selector": {"o_orderstatus": "F"}}, "done", "by_price", path=scratch(spark))
+    return docs.find({"selector": {"o_totalprice": {"$gt": 150000}}, "use_index": ["done", "by_price"], "fields": ["o_orderkey", "o_totalprice"], "limit": None})
+
+
+def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a field of five types, as JSON text and in a VARIANT."""
+    kind = F.col("event_id") % 5
+    j = F.when(kind == 0, "null").when(kind == 1, "true").when(kind == 2, F.col("event_id").cast("string")).when(kind == 3, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise("[1]")
+    return table(spark, sf_dir, "events").select("event_id", j.alias("j")).withColumn("doc", F.parse_json(F.concat(F.lit('{"x":'), "j", F.lit("}"))))
+
+
+@registered("SELECT event_id FROM events WHERE event_id % 5 IN (0, 3)")
+def find_variant_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixed_events(spark, sf_dir)
+    return docs.filter(compile_selector(docs, {"$or": [{"x": {"$type": "string"}}, {"x": {"$type": "null"}}]}, "event_id", "doc")).select("event_id")
+
+
+@registered("SELECT event_id FROM events ORDER BY CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END DESC, event_id DESC LIMIT 50")
+def find_variant_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixed_events(spark, sf_dir).select("event_id", "doc")
+    return Collection(docs, "event_id", "doc").find({"selector": {}, "sort": [{"x": "desc"}], "limit": 50}).select("event_id")
+
+
+# More reads by primary key
+@registered("SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey")
+def alldocs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_docs(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+
+
+@registered("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 32")
+def alldocs_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_docs(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", key=32)
+
+
+# More of views
+@registered("SELECT CASE WHEN c_custkey % 4 < 3 THEN NULL ELSE c_nationkey::DOUBLE END AS key, count(*) AS value FROM customer GROUP BY 1")
+def view_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing keys and numbers that aren't finite are null."""
+    n = F.col("c_custkey") % 4
+    key = F.when(n == 0, F.lit(float("nan"))).when(n == 1, F.lit(float("-inf"))).when(n == 3, F.col("c_nationkey").cast("double"))
+    return query(table(spark, sf_dir, "customer"), ViewSpec([Emit(key)], "_count"), "c_custkey", group=True)
+
+
+@registered("SELECT c_nationkey AS key, count(*) AS value FROM customer GROUP BY 1 ORDER BY 1 LIMIT 5 OFFSET 3")
+def view_skip_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(table(spark, sf_dir, "customer"), ViewSpec([Emit(F.col("c_nationkey"))], "_count"), "c_custkey", group=True, skip=3, limit="5")
+
+
+@registered("SELECT c_custkey AS id, c_nationkey AS key, c_name AS name FROM customer WHERE c_nationkey = 7")
+def view_include_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = query(table(spark, sf_dir, "customer"), ViewSpec([Emit(F.col("c_nationkey"))], "_count"), "c_custkey", reduce=False, key=7, include_docs=True)
+    return rows.select("id", "key", F.col("doc.c_name").alias("name"))
+
+
+@registered("SELECT NULL::VARCHAR AS key, round(sum(o_totalprice), 2) AS value FROM orders")
+def view_global_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = query(table(spark, sf_dir, "orders"), ViewSpec([Emit(F.col("o_orderstatus"), F.col("o_totalprice"))], "_sum\n of all"), "o_orderkey")
+    return out.select("key", money("value").alias("value"))
+
+
+def view_of_mixed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return query(mixed_events(spark, sf_dir), ViewSpec([Emit(F.try_variant_get("doc", "$.x", "variant"))], "_count"), "event_id", **options)
+
+
+@registered(f"SELECT j AS key, count(*) AS value FROM (SELECT {MIXED} AS j FROM events) GROUP BY 1")
+def view_variant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view_of_mixed(spark, sf_dir, group=True).select(F.to_json("key").alias("key"), "value")
+
+
+@registered(f"SELECT event_id AS id, j AS key FROM (SELECT event_id, {MIXED} AS j FROM events) WHERE event_id % 5 IN (2, 3) AND (event_id % 5 = 3 OR event_id >= 100) ORDER BY event_id % 5, CASE WHEN event_id % 5 = 3 THEN j END, event_id LIMIT 400")
+def view_variant_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view_of_mixed(spark, sf_dir, reduce=False, startkey=100, endkey=[], limit=400).select("id", F.to_json("key").alias("key"))
+
+
+@registered("SELECT '[\"' || c_mktsegment || '\"]' AS key, count(*) AS value FROM customer GROUP BY c_mktsegment")
+def view_variant_group_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.parse_json(F.to_json(F.array("c_mktsegment", F.col("c_nationkey").cast("string"))))
+    return query(table(spark, sf_dir, "customer"), ViewSpec([Emit(key)], "_count"), "c_custkey", group_level=1).select(F.to_json("key").alias("key"), "value")
+
+
+@registered("SELECT l_returnflag AS key, '[' || sum(CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 1 END)::VARCHAR || ',' || sum(CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 2 END)::VARCHAR || ']' AS value FROM lineitem GROUP BY 1")
+def view_sum_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers among lists count as lists of one."""
+    value = F.when(F.col("l_linenumber") % 2 == 0, F.parse_json(F.col("l_linenumber").cast("string"))).otherwise(F.parse_json(F.lit("[1, 2]")))
+    out = query(table(spark, sf_dir, "lineitem"), ViewSpec([Emit(F.col("l_returnflag"), value)], "_sum"), "l_orderkey", group=True)
+    return out.select("key", F.concat(F.lit("["), F.array_join(F.try_variant_get("value", "$", "array<bigint>").cast("array<string>"), ","), F.lit("]")).alias("value"))
+
+
+@registered("SELECT c_nationkey AS key, CASE WHEN max(c_acctbal) > 9000 THEN 1 ELSE 0 END::BIGINT AS n FROM customer GROUP BY 1")
+def view_empty_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group whose lists are all empty keeps its row."""
+    value = F.when(F.col("c_acctbal") > 9000, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>"))
+    out = query(table(spark, sf_dir, "customer"), ViewSpec([Emit(F.col("c_nationkey"), value)], "_sum"), "c_custkey", group=True)
+    return out.select("key", F.size("value").cast("bigint").alias("n"))
+
+
+# Stores. Each query makes one in the shared folder from a table, and reads it.
+def scratch(spark: SparkSession) -> str:
+    """A new folder where the session's checkpoints go, or a temporary one in local tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{named}/quern-{uuid.uuid4().hex}"
+
+
+def writes(rows: DataFrame) -> DataFrame:
+    """rows (pos, id, body) with rev and deleted, if there, as bulk_docs takes them."""
+    names = {"rev": F.lit(None).cast("string"), "deleted": F.lit(False)}
+    more = [c.alias(n) for n, c in names.items() if n not in rows.columns]
+    none = F.create_map().cast("map<string,struct<content_type:string,digest:string,length:bigint,revpos:int>>")
+    return rows.select("pos", "id", "body", *(n for n in names if n in rows.columns), *more, none.alias("attachments"), F.lit(None).cast("array<string>").alias("path"), F.lit(False).alias("force"), F.lit(True).alias("valid"))
+
+
+def store_of_customers(spark: SparkSession, sf_dir: str, steps: int = 3) -> DocStore:
+    """All customers; then those of ten nations once more; then every seventh is removed."""
+    store = DocStore(spark, scratch(spark))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("pos"), F.col("c_custkey").cast("string").alias("id"), "c_custkey", "c_nationkey", F.to_json(F.struct(F.col("c_nationkey").alias("nation"))).alias("body"))
+    for condition, deleted in (("true", False), ("c_nationkey < 10", False), ("c_custkey % 7 = 0", True))[:steps]:
+        revs = store.winners().select("id", rev().alias("rev"))
+        store.bulk_docs(writes(customers.filter(condition).join(revs, "id", "left").withColumn("deleted", F.lit(deleted))))
+    return store
+
+
+CUSTOMERS = "WITH s AS (SELECT c_custkey::VARCHAR AS id, 1 + (c_nationkey < 10)::INT + (c_custkey % 7 = 0)::INT AS gen, c_custkey % 7 = 0 AS deleted, c_nationkey AS nation, c_custkey FROM customer) "
+
+
+@registered(CUSTOMERS + "SELECT id, gen, '{\"nation\":' || nation || '}' AS body FROM s WHERE NOT deleted")
+def store_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_of_customers(spark, sf_dir).docs().select(F.col("_id").alias("id"), F.substring_index("_rev", "-", 1).cast("int").alias("gen"), "body")
+
+
+@registered(CUSTOMERS + "SELECT id, 'conflict' AS error, false AS ok FROM s WHERE gen > 1 AND NOT deleted")
+def store_conflicting_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of revisions that have been changed before are refused, one by one."""
+    store = store_of_customers(spark, sf_dir)
+    old = store.log().filter("gen = 1").select(F.col("seq").cast("int").alias("pos"), "id", rev().alias("rev"), F.lit("{}").alias("body"))
+    stale = old.join(store.docs().filter("_rev NOT LIKE '1-%'").select(F.col("_id").alias("id")), "id", "left_semi")
+    return store.bulk_docs(writes(stale)).select("id", "ok", "error")
+
+
+@registered(CUSTOMERS + "SELECT id, count(*) AS known, sum(kept)::BIGINT AS bodies FROM (SELECT id, (g = gen)::INT AS kept FROM s, range(1, 4) r(g) WHERE g <= gen) GROUP BY id")
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions stay known; only leaves keep their bodies."""
+    store = store_of_customers(spark, sf_dir)
+    store.compact()
+    return store.log().groupBy("id").agg(F.count("*").alias("known"), F.count("body").alias("bodies"))
+
+
+@registered(CUSTOMERS + "SELECT id, gen, deleted FROM s WHERE gen > 1")
+def store_changes_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed after the first write: each document once, with its last state."""
+    store = store_of_customers(spark, sf_dir)
+    first = store.log().filter("gen = 1").agg(F.max("seq")).first()[0] if not store.log().isEmpty() else 0
+    changes = Changes(store).changes(since=first, style="all_docs")
+    return changes.select("id", F.substring_index(F.col("changes")[0]["rev"], "-", 1).cast("int").alias("gen"), "deleted")
+
+
+@registered(CUSTOMERS + "SELECT id, gen FROM s WHERE nation IN (3, 12) AND NOT deleted")
+def store_changes_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = Changes(store_of_customers(spark, sf_dir)).changes(selector={"nation": {"$in": [3, 12]}})
+    return changes.filter("NOT deleted").select("id", F.substring_index(F.col("changes")[0]["rev"], "-", 1).cast("int").alias("gen"))
+
+
+@registered(CUSTOMERS + "SELECT k.pos, k.id, s.gen, s.deleted, CASE WHEN s.id IS NULL THEN 'not_found' END AS error FROM (VALUES (0, '7'), (1, '12'), (2, 'no'), (3, '3')) k(pos, id) LEFT JOIN s ON s.id = k.id")
+def store_bulk_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store_of_customers(spark, sf_dir).bulk_get([{"id": x} for x in ("7", "12", "no", "3")])
+    return rows.select("pos", "id", F.substring_index("rev", "-", 1).cast("int").alias("gen"), "deleted", "error")
+
+
+@registered(CUSTOMERS + "SELECT id, gen FROM s WHERE NOT deleted AND id >= '2' AND id < '4' ORDER BY id DESC LIMIT 40")
+def store_all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store_of_customers(spark, sf_dir).all_docs(startkey="4", endkey="2", descending=True, skip=0, limit=None)
+    return rows.filter("id <> '4'").limit(40).select("id", F.substring_index("value.rev", "-", 1).cast("int").alias("gen"))
+
+
+@registered(CUSTOMERS + "SELECT k.pos, k.key, s.deleted, CASE WHEN s.id IS NULL THEN 'not_found' END AS error FROM (VALUES (0, '7'), (1, '12'), (2, 'no'), (3, '7')) k(pos, key) LEFT JOIN (SELECT id, CASE WHEN deleted THEN true END AS deleted FROM s) s ON s.id = k.key")
+def store_all_docs_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in their order: deleted documents are marked, unknown ones are errors."""
+    rows = store_of_customers(spark, sf_dir).all_docs(keys=["7", "12", "no", "7"]).collect()
+    out = [(k, r["key"], r["value"]["deleted"] if r["value"] else None, r["error"]) for k, r in enumerate(rows)]
+    return spark.createDataFrame(out, "pos int, key string, deleted boolean, error string")
+
+
+@registered(CUSTOMERS + "SELECT id, gen, deleted FROM s")
+def replicate_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target that took the first revisions takes the last ones: what was removed or changed in between doesn't come back."""
+    source, target = store_of_customers(spark, sf_dir, 1), DocStore(spark, scratch(spark))
+    replicate(source, target)
+    customers = source.docs().select(F.monotonically_increasing_id().cast("int").alias("pos"), F.col("_id").alias("id"), F.col("_rev").alias("rev"), "body", F.get_json_object("body", "$.nation").cast("int").alias("nation"))
+    source.bulk_docs(writes(customers.filter("nation < 10")))
+    left = source.docs().select(F.monotonically_increasing_id().cast("int").alias("pos"), F.col("_id").alias("id"), F.col("_rev").alias("rev"), "body")
+    source.bulk_docs(writes(left.filter("id % 7 = 0").withColumn("deleted", F.lit(True))))
+    replicate(source, target)
+    return leaves(target.log()).select("id", "gen", "deleted")
+
+
+@registered("SELECT c_custkey::VARCHAR AS id, (c_custkey % 2 = 0 OR c_custkey % 3 = 0) AS changed, (c_custkey % 6 = 0) AS conflict FROM customer WHERE c_nationkey < 5")
+def sync_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both stores change documents, some of them the same ones; afterwards both have all changes, and the conflicts."""
+    rows = table(spark, sf_dir, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").cast("int").alias("pos"), F.col("c_custkey").cast("string").alias("id"), F.lit("{}").alias("body"))
+    a, b = DocStore(spark, scratch(spark)), DocStore(spark, scratch(spark))
+    a.bulk_docs(writes(rows))
+    sync(a, b)
+    for store, n in ((a, 2), (b, 3)):
+        known = rows.join(store.docs().select(F.col("_id").alias("id"), F.col("_rev").alias("rev")), "id").filter(f"pos % {n} = 0")
+        store.bulk_docs(writes(known.withColumn("body", F.lit(f'{{"by":{n}}}'))))
+    sync(a, b)
+    return b.winners().select("id", (F.col("gen") > 1).alias("changed"), (F.size("conflicts") > 0).alias("conflict"))
+
+
+@registered(CUSTOMERS + "SELECT nation AS key, count(*) AS value FROM s WHERE NOT deleted GROUP BY 1")
+def view_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kept view of a store: after more writes only the documents that changed are mapped anew."""
+    store = store_of_customers(spark, sf_dir, 1)
+    views = views_of(store, scratch(spark))
+    views.define("nations", ViewSpec([Emit(F.try_variant_get("doc", "$.nation", "int"))], "_count"))
+    views.refresh("nations")
+    left = store.docs().select(F.monotonically_increasing_id().cast("int").alias("pos"), F.col("_id").alias("id"), F.col("_rev").alias("rev"), "body")
+    store.bulk_docs(writes(left.filter("id % 7 = 0").withColumn("deleted", F.lit(True))))
+    return views.query("nations", group=True)
+
+
+@registered("SELECT c_nationkey AS key, count(*) AS value FROM customer GROUP BY 1")
+def view_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With stale, a kept view is read as it is."""
+    docs = [table(spark, sf_dir, "customer")]
+    views = Views(lambda: docs[-1], scratch(spark), "c_custkey")
+    views.define("nations", ViewSpec([Emit(F.col("c_nationkey"))], "_count"))
+    views.refresh("nations")
+    docs.append(docs[0].filter("c_nationkey > 3"))
+    return views.query("nations", stale="ok", group=True)
+
+
+@registered("SELECT id, n FROM (SELECT id, count(*) - 1 AS n FROM (" + LEAVES + " SELECT id FROM l WHERE NOT deleted) GROUP BY id) WHERE n > 0")
+def view_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map sees the losing revisions of a document."""
+    docs = winners(revisions(spark, sf_dir)).filter("NOT deleted").select(F.col("id").alias("_id"), F.col("conflicts").alias("_conflicts"))
+    rows = query(docs, ViewSpec([Emit(F.size("_conflicts"), None, F.size("_conflicts") > 0)]))
+    return rows.select("id", F.col("key").cast("bigint").alias("n"))
+
+
+CHAINS = """WITH r AS (SELECT DISTINCT user_id::VARCHAR AS id, (1 + event_id % 5)::INT AS gen, CASE WHEN event_id % 5 < 2 THEN 0 ELSE event_id % 2 END AS branch FROM events WHERE event_id % 5 <> 2)"""
+
+
+@registered(CHAINS + " SELECT id, gen, branch::INT AS branch FROM r WHERE NOT EXISTS (SELECT 1 FROM r d WHERE d.id = r.id AND d.gen > r.gen AND (r.gen < 3 OR d.branch = r.branch))")
+def leaves_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of five generations with two branches from the third on; the third generation itself is unknown."""
+    n, user = F.col("event_id") % 5, F.col("user_id").cast("string")
+    e = table(spark, sf_dir, "events").filter(n != 2).select(user.alias("id"), (n + 1).cast("int").alias("gen"), F.when(n < 2, 0).otherwise(F.col("event_id") % 2).cast("int").alias("branch")).distinct()
+    path = F.transform(F.sequence(F.col("gen"), F.lit(1), F.lit(-1)), lambda g: F.concat_ws(":", "id", g.cast("string"), F.when(g < 3, 0).otherwise(F.col("branch")).cast("string")))
+    log = e.withColumn("path", path).select("id", "gen", F.col("path")[0].alias("hash"), "path", F.lit(False).alias("deleted"), F.lit("{}").alias("body"), F.lit(1).alias("seq"))
+    return leaves(log).select("id", "gen", F.element_at(F.split("hash", ":"), -1).cast("int").alias("branch"))
+
+
+# More of the change feed
+@registered(LATEST + " ORDER BY event_id LIMIT 1")
+def changes_limit_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", limit=0)
+
+
+@registered(LATEST + " AND user_id IN (3, 5, 8) ORDER BY event_id DESC")
+def changes_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", descending=True, doc_ids=[3, 5, 8])
+
+
+@registered(LATEST + " AND (event_id % 2 = 0) ORDER BY event_id DESC LIMIT 20")
+def changes_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", descending=True, limit=20, filter=F.col("event_id") % 2 == 0)
+
+
+@registered("SELECT p_partkey, p_size FROM part WHERE (p_brand <> 'Brand#11' AND p_size >= 5.5) OR p_name IS NULL")
+def gql_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gql(table(spark, sf_dir, "part"), {"select": "p_partkey, `p_size`", "where": '(p_brand <> "Brand#11" and `p_size` >= 5.5) or p_name is null'})

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.errors import QueryError
 from quern.operators.find import number
-from quern.operators.views import ViewSpec
+from quern.operators.views import Views, ViewSpec
 from quern.plans.selector import compile_selector
 from quern.store import DocStore, leaves, rev, winners
 
@@ -109,3 +109,12 @@ class Changes:
             if on_complete:
                 on_complete()
         return query
+
+
+def views_of(store: DocStore, folder: str) -> Views:
+    """Views of a store's documents (_id, _rev, doc, _conflicts), refreshed by what changed."""
+
+    def changed(since: int) -> DataFrame:
+        return store.log().filter(F.col("seq") > since).select("id")
+
+    return Views(lambda: store.docs(variant=True, conflicts=True), folder, version=store.update_seq, changed=changed)
