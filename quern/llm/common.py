@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The setting that bounds Arrow batches, and what Spark has for it where nobody sets it.
+BATCH_BYTES, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 #: A word, in the syntax that Java, RE2 and Python share.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,13 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder that the session names; set a temporary one only where none is set, as in local tests."""
+    """Keep the folder that the session names; set a temporary one only where none is set, in local mode, as in tests."""
+    small_batches(spark)
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches for Python have 16 MB at most, unless the session says otherwise: a batch is held several times over."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, DEFAULT_BATCH):
+        spark.conf.set(BATCH_BYTES, str(16 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see."""
     ensure_checkpoint_dir(spark)
@@ -39,13 +51,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df as a table in the shared folder and read it again: compressed, and by columns."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """Hint a broadcast only after counting; a larger df takes part in an ordinary shuffle join. Give a checkpointed df."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_hot(rows: DataFrame, named: DataFrame, on: list[str], n: str) -> DataFrame:
-    """rows joined with named, a checkpointed table of a row per key (on) and the number n of rows that bear the key.
+def join_hot(rows: DataFrame, named: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with named, a checkpointed table of a row per key (on) and the number n of rows that bear the key.
 
     A key that more rows bear than a quarter of what a shuffle partition holds on average is joined by a broadcast; there
     are at most four times as many of them as partitions. The other keys are joined by a shuffle, which they load evenly.
@@ -55,8 +74,8 @@ def join_hot(rows: DataFrame, named: DataFrame, on: list[str], n: str) -> DataFr
     most = max(100, whole // (4 * parts))
     hot, cold = checkpointed(named.filter(F.col(n) > most).drop(n)), named.filter(F.col(n) <= most).drop(n)
     if hot.isEmpty():
-        return rows.join(cold, on)
-    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+        return rows.join(cold, on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
 
 
 def remainder(key: str, n: int) -> Column:

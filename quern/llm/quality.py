@@ -6,8 +6,9 @@ word windows, word length. Its candidate cutoffs are every STEP-th of fixed leve
 allowed error probability divided by all strata, rules and candidates (Bonferroni), so that all bounds hold at once and
 cutoffs may be chosen by looking at the data. They are chosen one by one: the cutoff that rejects most bad texts that
 are left, the most lenient one that rejects nearly as many, as long as the bounds of all chosen ones sum up to no more than the
-limit. With the stated confidence no stratum loses more than the limit of its good texts; where too few are labelled,
-a rule rests. All labelled texts that pass the base count; only their numbers per level are brought together.
+limit. With the stated confidence no stratum loses more than the limit of its good texts that pass the base, which is a
+rule of its own without a bound; where too few are labelled, a rule rests. All labelled texts that pass the base count;
+only their numbers per level are brought together.
 
 Defined cases: a null text has no words (and fails the base); a null language is a stratum of its own; a text whose
 stratum has no labels meets the base alone; labels without quality or without a text are ignored, repeated ones count
@@ -20,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import broadcast_if_small, checkpointed, utf8
+from quern.llm.common import broadcast_if_small, checkpointed, utf8, written
 
 RULES = ("symbols", "capitals", "marks", "dup_lines", "repeats", "word_length")
-#: A measure x has the level floor(8 * log2(1 + 1000 x)); at most 255. Cutoffs lie at every eighth.
-LEVELS, STEP = 256, 8
+#: A measure x has the level floor(8 * log2(1 + 1000 x)); at most 255. Cutoffs lie at every second one.
+LEVELS, STEP = 256, 2
 
 
 @dataclass
@@ -101,7 +103,8 @@ def measured(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*columns, *(n for n, _ in ADDED)])
 
     schema = T.StructType([f for f in rows.schema.fields if f.name != "__q_text"] + [T.StructField(n, t) for n, t in ADDED])
-    return rows.mapInArrow(run, schema)
+    # By position, as names with dots are not found there.
+    return rows.toDF(*(f"_{k}" for k in range(len(columns) + 1))).mapInArrow(run, schema)
 
 
 def tail(k: int, n: int, rate: float) -> float:
@@ -116,6 +119,7 @@ def tail(k: int, n: int, rate: float) -> float:
     return total
 
 
+@lru_cache(maxsize=1 << 16)
 def upper(k: int, n: int, error: float, limit: float) -> float:
     """The exact upper confidence limit of a rate of which k in n were seen; 1 if it is above limit."""
     if n == 0 or k >= n * limit or tail(k, n, limit) > error:
@@ -197,8 +201,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, rate: float = 0.05, error: floa
 
 
 def accepted(docs: DataFrame, labels: DataFrame, rate: float = 0.05, error: float = 0.05) -> DataFrame:
-    """The documents that are kept, with the columns of docs. Texts are read twice and not shuffled."""
-    levels = measured(docs.select("doc_id", stratum("lang").alias("__q_stratum"), "text"), keep_text=False)
-    cuts = cutoffs(levels, labels, rate, error)
-    rows = measured(docs.withColumn("__q_stratum", stratum("lang")))
+    """The documents that are kept, with the columns of docs. Texts are measured once and not shuffled: they are written with their levels."""
+    rows = written(measured(docs.withColumn("__q_stratum", stratum("lang"))), "quality")
+    cuts = cutoffs(rows, labels, rate, error)
     return judged(rows, cuts).filter("__q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
