@@ -7,8 +7,8 @@ labelled texts gives the universe; some of them are landmarks, and a text's kern
 inverse root of the landmarks' own kernel matrix (Nystroem), are its features. One ridge regression per language (one
 versus rest) on these features is kernel ridge regression in that approximation. Scoring is two matrix products per batch.
 
-The sample takes at most PER_LANGUAGE texts of each language and LANGUAGES languages (the most frequent ones), those
-with the smallest key hashes; both bounds are parameters. Every whole text is scored.
+The sample takes at most PER_LANGUAGE texts of each language, those with the smallest key hashes; the bound is a
+parameter. All languages are learnt. Every whole text is scored.
 
 Defined cases: a text that is null or has no letter is 'und' with score 0, as is every text if nothing could be learnt;
 null languages are not learnt; equal scores go to the language that sorts first; rows with equal keys are
@@ -26,15 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import remainder
+from quern.llm.common import broadcast_if_small, checkpointed, remainder
 
 SPECTRUM = 3
-PER_LANGUAGE, LANGUAGES, LANDMARKS = 256, 256, 128
+PER_LANGUAGE, LANDMARKS = 256, 128
 #: Texts of a batch whose presence matrix is held at once, and bytes looked up at a time.
 ROWS, STEP = 64, 1 << 20
 #: Anything but letters; in the byte pattern, letters are ASCII letters and everything outside ASCII.
 GAPS = re.compile(rb"[^a-z\x80-\xff]+")
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def clean(text: str) -> bytes:
@@ -89,7 +88,7 @@ class Classifier:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return names, scores
-        here = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+        here = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         for a in range(0, len(here), ROWS):
             rows = here[a : a + ROWS]
             # One-versus-rest values are near 1 for the language and near 0 for others; their softmax is a share.
@@ -111,17 +110,24 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     codes, texts = np.unique(np.concatenate([c for _, c in sample]), return_counts=True)
     # A sequence of one text of the sample says nothing about others.
     universe = codes[texts > 1] if (texts > 1).any() else codes
-    presence = np.zeros((len(sample), len(universe)), np.float32)
-    for row, (_, c) in zip(presence, sample, strict=True):
-        at = np.searchsorted(universe, c)
-        at, c = at[at < len(universe)], c[at < len(universe)]
-        row[at[universe[at] == c]] = 1
+
+    def presence(rows: list[int]) -> np.ndarray:
+        out = np.zeros((len(rows), len(universe)), np.float32)
+        for row, k in zip(out, rows, strict=True):
+            c = sample[k][1]
+            at = np.searchsorted(universe, c)
+            at, c = at[at < len(universe)], c[at < len(universe)]
+            row[at[universe[at] == c]] = 1
+        return out
+
     # Landmarks in turn from each language.
     by = {lang: [k for k, (x, _) in enumerate(sample) if x == lang] for lang in languages}
     turns = sorted((n, lang, k) for lang, rows in by.items() for n, k in enumerate(rows))
     chosen = [k for _, _, k in turns[: max(landmarks, len(languages))]]
-    out = Classifier(universe, np.ascontiguousarray(presence[chosen].T), np.sqrt(np.maximum(presence[chosen].sum(axis=1), 1)), np.empty((0, 0)), languages)
-    kernel = out.kernel(presence).astype(np.float64)
+    marks = presence(chosen)
+    out = Classifier(universe, np.ascontiguousarray(marks.T), np.sqrt(np.maximum(marks.sum(axis=1), 1)), np.empty((0, 0)), languages)
+    # Only the landmarks' presence is held whole; that of the sample is made and multiplied some rows at a time.
+    kernel = np.vstack([out.kernel(presence(list(range(a, min(a + ROWS, len(sample)))))) for a in range(0, len(sample), ROWS)]).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -134,27 +140,24 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     return out
 
 
-def learn(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Classifier:
+def learn(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = PER_LANGUAGE) -> Classifier:
     """A classifier from rows whose crc32 of doc_id has another remainder than held; docs: doc_id, text, lang."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(remainder("doc_id", folds) != held)
-    most = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    counts = checkpointed(known.groupBy("lang").agg(F.count("*").alias("n")))
     # Keys that hash below a bound hold about four times what is asked for; with fewer rows than that, all keys do.
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().filter(F.col("lang").isin(most)).collect()}
-    keys: dict[object, str] = {}
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    bound = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, 4 * per_language / n)))) for lang, n in counts.items()], F.lit(0)) if counts else F.lit(0)
+    narrow = known.select("doc_id", "lang").join(broadcast_if_small(counts), "lang").filter(spread <= (1 << 30) * F.least(F.lit(1.0), 4 * per_language / F.col("n")))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(spread, "doc_id"))
-    narrow = known.select("doc_id", "lang").filter(spread <= bound)
-    for r in narrow.withColumn("nth", nth).filter(F.col("nth") <= per_language).collect():
-        keys[r["doc_id"]] = r["lang"]
-    of = docs.sparkSession.sparkContext.broadcast(keys)
+    few = checkpointed(narrow.distinct().withColumn("nth", nth).filter(F.col("nth") <= per_language).select("doc_id", "lang"))
+    # Of rows with equal keys only those of the sampled language are learnt.
+    taken = known.select("doc_id", "lang", "text").join(broadcast_if_small(few), ["doc_id", "lang"], "left_semi")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(of.value[key], present(clean(text.as_py()))) for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if key in of.value and text.is_valid]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.list_(pa.int64()))], ["lang", "codes"])
+            codes = [present(clean(text.as_py())) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], ["lang", "codes"])
 
-    sample = docs.select("doc_id", "text").mapInArrow(take, "lang string, codes array<bigint>").toArrow()
+    sample = taken.select("lang", "text").mapInArrow(take, "lang string, codes array<bigint>").toArrow()
     return fit([(lang, codes.values.to_numpy()) for lang, codes in zip(sample.column("lang").to_pylist(), sample.column("codes"), strict=True)])
 
 
