@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import broadcast_if_small, checkpointed
+from quern.llm.common import broadcast_if_small, checkpointed, join_hot
 from quern.llm.components import components
 
 #: Vectors in a block; a tile holds two, and multiplies them in pieces of STEP rows.
@@ -31,6 +31,14 @@ BLOCK, STEP = 4096, 512
 SLACK = 1e-9
 
 
+def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All products of rows with int8's values. Up to 1024 of them sum up exactly in single precision, as 127 * 127 * 1024 < 2**24."""
+    out = (x[:, :1024] @ y[:, :1024].T).astype(np.float64)
+    for a in range(1024, x.shape[1], 1024):
+        out += x[:, a : a + 1024] @ y[:, a : a + 1024].T
+    return out
+
+
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """q, scale and the length of the error of each unit vector. q has int8's values, as float32 for the matrix product."""
     scale = np.abs(unit).max(axis=1) / 127
@@ -59,7 +67,7 @@ def tile_links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float, check
     (qx, sx, ex), (qy, sy, ey) = quantise(x / norm_x[:, None]), quantise(y / norm_y[:, None])
     for a in range(0, len(x), STEP):
         for b in range(a if same else 0, len(y), STEP):
-            about = (qx[a : a + STEP] @ qy[b : b + STEP].T).astype(np.float64) * sx[a : a + STEP, None] * sy[None, b : b + STEP]
+            about = product(qx[a : a + STEP], qy[b : b + STEP]) * sx[a : a + STEP, None] * sy[None, b : b + STEP]
             bound = ex[a : a + STEP, None] + (1 + ex[a : a + STEP, None]) * ey[None, b : b + STEP] + SLACK
             possible = about + bound >= threshold
             if same and a == b:
@@ -111,7 +119,8 @@ def links(df: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: s
     roots = components(found.filter("b >= 0"))
     known = reps.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(least, "root").select("label", "x", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    joined = rows.join(named, ["label", "x"], "left")
-    component = F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return joined.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    named = known.join(least, "root").select("label", "x", "n", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    joined = join_hot(rows.filter("x IS NOT NULL"), checkpointed(named), ["label", "x"], "n").select("key", "n_links", "component_id")
+    # Rows without a usable vector or a label take no part in a join.
+    alone = rows.filter("x IS NULL").select("key", F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"))
+    return joined.unionByName(alone).select(F.col("key").alias(key), F.col("n_links").cast("bigint").alias("n_links"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -63,6 +63,18 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+#: All pairs of a label, and what links reach; vectors that can't be compared stay alone.
+OP3_SQL = r"""
+WITH RECURSIVE u AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT DISTINCT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.root, e.vec_id) AS component_id, e.vec_id = coalesce(c.root, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.simhash import classes
 
@@ -93,7 +105,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: What the archives have to hold; base32 takes five bits of two hexadecimal digits at a time.
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((1 + ((('0x' || substr(h, (1 + (5 * i) // 4)::INT, 2))::INT >> (3 - (5 * i) % 4)::INT) & 31)))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_embedding_dedup, op4_simhash, op5_toxicity, op6_mixing, op7_packing, op8_sharding, op9_language_id, op10_warc)
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op10_warc": OP10_SQL}

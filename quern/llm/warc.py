@@ -3,11 +3,14 @@
 Of records with equal payloads one is a response, the others are revisits that name it; which one follows from the
 payloads' SHA-1 and length, with one row per payload combined before its shuffle. Archives are plain .warc.gz content,
 written through Spark's own writer and committer, so that they go to whatever store the shared folder is on and a retried
-task leaves no half-written file. The writer ends every row with a zero byte: it replaces the last byte of the member's
-length field, which is zero for records under 16 MB; behind larger records it stays as padding, which gzip readers skip.
+task leaves no half-written file. A row for the writer is as many members as fill CHUNK bytes, or one that is larger, and
+a file holds ROWS of them: so files are bounded by bytes. The writer ends every row with a zero byte, which takes the place
+of the last byte of the last member's length field; that is zero for records under 16 MB, and behind a larger one an empty
+member follows.
 
 The reader decompresses a file step by step, parses each record's head, frames its block by Content-Length, checks that
-the member ends where the record does, and verifies block and payload digests. It holds one record at a time.
+the member ends where the record does, and verifies block and payload digests. It holds one file of compressed records,
+as Spark hands it over, and one record that is decompressed.
 
 Defined cases: a null html is an empty payload; a null url leaves its header out; null page_ids sort below all others
 and are read back as null; rows of equal page_id and payload are all responses if that id is the largest; an empty table
@@ -27,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpointed, shared_dir
+from quern.llm.common import checkpointed, join_hot, shared_dir
 
+#: Compressed bytes of a row for the writer, and rows of a file.
+CHUNK, ROWS = 4 << 20, 16
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 STEP = 1 << 16
+#: Payloads that occur more than once and are broadcast (36 bytes each) at most.
+NARROW = 200_000
 
 
 def digest(data: bytes) -> str:
@@ -58,7 +65,7 @@ def member(data: bytes, level: int = 6) -> bytes:
 
 
 def read_members(archive: memoryview) -> Iterator[bytes]:
-    """The uncompressed content of each gzip member, decompressed step by step; zero bytes between members are skipped."""
+    """The uncompressed content of each gzip member, decompressed step by step; empty members and zero bytes between members are skipped."""
     at, end = 0, len(archive)
     while at < end:
         if archive[at] == 0:
@@ -71,7 +78,8 @@ def read_members(archive: memoryview) -> Iterator[bytes]:
             piece = archive[at : at + STEP]
             parts.append(unpack.decompress(piece))
             at += len(piece) - len(unpack.unused_data)
-        yield b"".join(parts)
+        if data := b"".join(parts):
+            yield data
 
 
 def parse(data: bytes) -> dict:
@@ -101,29 +109,40 @@ def parse(data: bytes) -> dict:
 def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, sha, response, refers_to): which records are responses and what the others revisit."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    # Only payloads that occur more than once take part in the join.
-    first = rows.filter(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(checkpointed(first), ["sha", "size"], "left")
+    rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload"))
+    # Only payloads that occur more than once take part in the join; while they are few, no payload is shuffled.
+    keys = rows.filter(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    first = checkpointed(keys.filter("n > 1"))
+    few = first.limit(NARROW + 1).count() <= NARROW
+    joined = rows.join(F.broadcast(first.drop("n")), ["sha", "size"], "left") if few else join_hot(rows, first, ["sha", "size"], "n", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "sha", (~revisit).alias("response"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records: int = 20_000) -> None:
-    """Write a record per row of pages into .warc.gz content under folder, at most so many records a file."""
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", chunk: int = CHUNK, rows: int = ROWS) -> None:
+    """Write a record per row of pages into .warc.gz content under folder, at most so many rows of chunk bytes a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def row() -> pa.RecordBatch:
+            if held[-1][-1]:
+                held.append(member(b""))
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["members"])
+
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                out = []
-                for r in batch.slice(a, 256).to_pylist():
-                    name = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                    data = member(record(r["page_id"], r["url"], r["payload"], name, r["response"], r["refers_to"], date))
-                    out.append(data.removesuffix(b"\0"))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-
-    members = plan(pages, least_bytes).mapInArrow(run, "member binary")
-    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(folder)
+            for k in range(batch.num_rows):
+                page_id, url, payload, sha, response, refers_to = (batch.column(c)[k].as_py() for c in ("page_id", "url", "payload", "sha", "response", "refers_to"))
+                held.append(member(record(page_id, url, payload, base64.b32encode(sha).decode(), response, refers_to, date)))
+                size += len(held[-1])
+                if size >= chunk:
+                    yield row()
+                    held, size = [], 0
+        if held:
+            yield row()
+
+    members = plan(pages, least_bytes).mapInArrow(run, "members binary")
+    members.select(F.col("members").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", rows).text(folder)
 
 
 def read(archives: DataFrame) -> DataFrame:
