@@ -72,4 +72,4 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), c
     """The mixed corpus, with the columns of docs: each document as often as the mix takes it."""
     planned = plan(docs, seed, weights, ceiling)
     copies = planned.filter("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    return copies.select(*docs.columns)
+    return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
