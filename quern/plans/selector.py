@@ -66,7 +66,7 @@ def is_int(value: Any) -> bool:
 
 
 def validate(selector: Any) -> None:
-    """Raise QueryError for what can't be a selector."""
+    """Raise QueryError for what can't be a selector. The messages are fixed values."""
     if not isinstance(selector, dict):
         raise QueryError("Selector error: expected a JSON object")
     for key, value in selector.items():

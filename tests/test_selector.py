@@ -57,66 +57,66 @@ def test_default_limit(spark):
     assert len(ids(docs, {})) == 25 and len(ids(docs, {}, limit=None)) == 60
 
 
-ORDER = [("5", "42"), ("8", {"a": 1}), ("3", True), ("2", False), ("6", 42), ("9", [0]), ("10", ["foo"]), ("7", ""), ("4", -42), ("1", None), ("0", ...)]
+KINDS = [("word", "kiwi"), ("object", {"k": 1}), ("many", 1e3), ("yes", True), ("list", [3]), ("minus", -7.5), ("no", False), ("nothing", None), ("words", ["kiwi"]), ("empty", ""), ("absent", ...)]
 
 
 @pytest.fixture(scope="module")
 def mixed(spark):
-    return Collection(memory(spark, [{"_id": i} | ({} if v is ... else {"foo": v}) for i, v in ORDER]), variant="doc")
+    return Collection(memory(spark, [{"_id": i} | ({} if v is ... else {"x": v}) for i, v in KINDS]), variant="doc")
 
 
 def test_order_across_types(mixed):
-    assert ids(mixed, {"foo": {"$lt": 0}}, sort=[{"foo": "desc"}]) == ["4", "3", "2", "1"]
-    assert ids(mixed, {"foo": {"$gt": 0}}, sort=["foo"]) == ["6", "7", "5", "9", "10", "8"]
-    assert ids(mixed, {"foo": {"$gte": [0]}}, sort=["foo"]) == ["9", "10", "8"]
-    assert ids(mixed, {"foo": {"$exists": False}}) == ["0"] and "1" in ids(mixed, {"foo": {"$exists": True}})
-    assert ids(mixed, {"foo": None}) == ["1"] and ids(mixed, {"foo": {"$lte": None}}) == ["1"]
+    assert ids(mixed, {"x": {"$lt": 5}}, sort=[{"x": "desc"}]) == ["minus", "yes", "no", "nothing"]
+    assert ids(mixed, {"x": {"$gt": 5}}, sort=["x"]) == ["many", "empty", "word", "list", "words", "object"]
+    assert ids(mixed, {"x": {"$gte": [3]}}, sort=["x"]) == ["list", "words", "object"]
+    assert ids(mixed, {"x": {"$exists": False}}) == ["absent"] and "nothing" in ids(mixed, {"x": {"$exists": True}})
+    assert ids(mixed, {"x": None}) == ["nothing"] and ids(mixed, {"x": {"$lte": None}}) == ["nothing"]
 
 
-@pytest.mark.parametrize(("kind", "found"), [("null", ["1"]), ("boolean", ["2", "3"]), ("number", ["4", "6"]), ("string", ["5", "7"]), ("array", ["10", "9"]), ("object", ["8"])])
+@pytest.mark.parametrize(("kind", "found"), [("null", ["nothing"]), ("boolean", ["no", "yes"]), ("number", ["many", "minus"]), ("string", ["empty", "word"]), ("array", ["list", "words"]), ("object", ["object"])])
 def test_type(mixed, kind, found):
-    assert sorted(ids(mixed, {"foo": {"$type": kind}})) == found
+    assert sorted(ids(mixed, {"x": {"$type": kind}})) == found
 
 
-FAVOURITES = [("james", ["Mario", "Pokemon"], 20), ("link", ["Zelda", "Pokemon"], 22), ("mary", ["Pokemon"], 21), ("william", ["Mario"], 23), ("none", None, None)]
+PLANTS = [("ash", ["dry", "sun"], 40), ("birch", ["wet", "sun"], 42), ("cedar", ["sun"], 41), ("elm", ["dry"], 43), ("stump", None, None)]
 
 
 @pytest.fixture(scope="module", params=["typed", "variant"])
-def favourites(spark, request):
+def plants(spark, request):
     if request.param == "typed":
-        return Collection(spark.createDataFrame(FAVOURITES, "_id string, favorites array<string>, age int"))
-    return Collection(memory(spark, [{k: v for k, v in zip(("_id", "favorites", "age"), r, strict=True) if v is not None} for r in FAVOURITES]), variant="doc")
+        return Collection(spark.createDataFrame(PLANTS, "_id string, likes array<string>, age int"))
+    return Collection(memory(spark, [{k: v for k, v in zip(("_id", "likes", "age"), r, strict=True) if v is not None} for r in PLANTS]), variant="doc")
 
 
 @pytest.mark.parametrize(
     ("selector", "found"),
     [
-        ({"favorites": {"$in": ["Mario"]}}, ["james", "william"]),
-        ({"favorites": {"$nin": ["Mario"]}}, ["link", "mary"]),
-        ({"favorites": {"$nin": ["Pokemon", "Zelda"]}}, ["william"]),
-        ({"favorites": {"$nin": ["TMNT"]}}, ["james", "link", "mary", "william"]),
-        ({"age": {"$nin": [20, 23]}}, ["link", "mary"]),
-        ({"age": {"$in": [20, 21]}}, ["james", "mary"]),
-        ({"_id": {"$nin": ["james", "mary", "none"]}}, ["link", "william"]),
-        ({"favorites": {"$all": ["Mario", "Pokemon"]}}, ["james"]),
-        ({"favorites": {"$size": 2}}, ["james", "link"]),
-        ({"favorites": {"$elemMatch": {"$gt": "Y"}}}, ["link"]),
-        ({"favorites": {"$allMatch": {"$lt": "Q"}}}, ["james", "mary", "william"]),
-        ({"favorites": ["Mario"]}, ["william"]),
-        ({"age": {"$mod": [10, 1]}}, ["mary"]),
-        ({"_id": {"$regex": "^[jl]"}}, ["james", "link"]),
-        ({"_id": {"$regex": re.compile("^MA", re.I)}}, ["mary"]),
-        ({"age": {"$not": {"$gt": 20}}}, ["james", "none"]),
-        ({"$nor": [{"age": {"$gt": 21}}, {"favorites": {"$size": 1}}]}, ["james", "none"]),
-        ({"age": {"$ne": 20}}, ["link", "mary", "william"]),
-        ({"_id": {"$gt": None}}, ["james", "link", "mary", "none", "william"]),
+        ({"likes": {"$in": ["dry"]}}, ["ash", "elm"]),
+        ({"likes": {"$nin": ["dry"]}}, ["birch", "cedar"]),
+        ({"likes": {"$nin": ["sun", "wet"]}}, ["elm"]),
+        ({"likes": {"$nin": ["shade"]}}, ["ash", "birch", "cedar", "elm"]),
+        ({"age": {"$nin": [40, 43]}}, ["birch", "cedar"]),
+        ({"age": {"$in": [40, 41]}}, ["ash", "cedar"]),
+        ({"_id": {"$nin": ["ash", "cedar", "stump"]}}, ["birch", "elm"]),
+        ({"likes": {"$all": ["dry", "sun"]}}, ["ash"]),
+        ({"likes": {"$size": 2}}, ["ash", "birch"]),
+        ({"likes": {"$elemMatch": {"$gt": "t"}}}, ["birch"]),
+        ({"likes": {"$allMatch": {"$lt": "t"}}}, ["ash", "cedar", "elm"]),
+        ({"likes": ["dry"]}, ["elm"]),
+        ({"age": {"$mod": [10, 1]}}, ["cedar"]),
+        ({"_id": {"$regex": "^[ab]"}}, ["ash", "birch"]),
+        ({"_id": {"$regex": re.compile("^CE", re.I)}}, ["cedar"]),
+        ({"age": {"$not": {"$gt": 40}}}, ["ash", "stump"]),
+        ({"$nor": [{"age": {"$gt": 41}}, {"likes": {"$size": 1}}]}, ["ash", "stump"]),
+        ({"age": {"$ne": 40}}, ["birch", "cedar", "elm"]),
+        ({"_id": {"$gt": None}}, ["ash", "birch", "cedar", "elm", "stump"]),
         ({"_id": {"$lte": {}}}, []),
-        ({}, ["james", "link", "mary", "none", "william"]),
+        ({}, ["ash", "birch", "cedar", "elm", "stump"]),
         ({"age": {}}, []),
     ],
 )
-def test_operators(favourites, selector, found):
-    assert sorted(ids(favourites, selector)) == found
+def test_operators(plants, selector, found):
+    assert sorted(ids(plants, selector)) == found
 
 
 def test_equality_of_objects(spark):
@@ -195,3 +195,24 @@ def test_pushdown(spark, sf_dir):
     found = Collection(df, id_col="l_orderkey").find({"selector": {"l_returnflag": "R", "l_quantity": {"$gt": 45}}, "fields": ["l_orderkey"]})
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
     assert "EqualTo(l_returnflag,R)" in plan and "GreaterThan(l_quantity,45.0)" in plan and "l_comment" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_normal_form_keeps_every_condition():
+    assert normal_form({"$and": [{"a": 1}, {"a": 2}]}) == {"a": {"$eq": 1}, "$and": [{"a": {"$eq": 2}}]}
+    assert normal_form({"$and": [{"$nor": [{"a": 1}]}, {"$nor": [{"b": 1}]}]}) == {"$nor": [{"a": 1}, {"b": 1}]}
+    assert normal_form({"$and": [{"$not": {"a": 1}}, {"$not": {"b": 1}}]}) == {"$not": {"a": 1}, "$and": [{"$not": {"b": 1}}]}
+    both = normal_form({"$and": [{"$or": [{"a": {"$gt": 1}}, {"b": 1}]}, {"$or": [{"a": {"$gt": 3}}, {"c": 1}]}]})
+    assert both["$or"][0] == {"a": {"$gt": 3}} and len(both["$or"]) == 4
+    assert normal_form({"a": {"$gt": 1}, "$and": [{"a": {"$gte": 1}}, {"a": {"$lt": 9}}]}) == {"a": {"$gt": 1, "$lt": 9}}
+
+
+def test_stale_copies_are_not_read(spark, tmp_path):
+    folder = str(tmp_path / "docs")
+    spark.range(50).selectExpr("id AS _id", "id % 7 AS n").write.parquet(folder)
+    docs = Collection(spark.read.parquet(folder))
+    docs.create_index({"fields": ["n"]}, path=str(tmp_path / "index"))
+    request = {"selector": {"n": {"$gte": 5}}, "limit": None}
+    assert str(tmp_path / "index") in docs.find(request).inputFiles()[0] and docs.find(request).count() == 14
+    spark.range(50, 57).selectExpr("id AS _id", "id % 7 AS n").write.mode("append").parquet(folder)
+    docs.df = spark.read.parquet(folder)
+    assert docs.find(request).count() == 16
