@@ -118,7 +118,8 @@ def test_oracles(spark, sf_dir, name):
         connection.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{file}'")
     df, expected = QUERIES[name](spark, sf_dir).toPandas(), connection.sql(ORACLE_SQL[name]).df()
     columns = sorted(df.columns)
-    pd.testing.assert_frame_equal(df[columns].sort_values(columns).reset_index(drop=True), expected[columns].sort_values(columns).reset_index(drop=True))
+    # Whole numbers with nulls have another type in each engine's frames.
+    pd.testing.assert_frame_equal(df[columns].sort_values(columns).reset_index(drop=True), expected[columns].sort_values(columns).reset_index(drop=True), check_dtype=False)
 
 
 def test_pipeline(spark, sf_dir):
