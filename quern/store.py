@@ -230,7 +230,7 @@ class DocStore:
         parent = F.when(F.size("base") > 0, F.concat_ws("-", parent_gen.cast("string"), F.element_at("base", 1)))
         named = revision_hash(parent, F.col("deleted"), F.concat_ws("|", "body", F.to_json("attachments"))) if self.deterministic else F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
         made = made.withColumn("hash", named).withColumn("path", F.slice(F.concat(F.array("hash"), F.col("base")), 1, self.revs_limit))
-        held = self._held(made)
+        held = self._held(self._dealt(made))
         self._append("log", self._numbered(held.filter("ok")).select(*LOG.names))
         if self.auto_compaction:
             self.compact()
@@ -249,10 +249,12 @@ class DocStore:
             return self.log().filter(F.col("id").isin([d["_id"] for d in listed if isinstance(d.get("_id"), str)]))
         return self.log().join(rows.select("id").distinct(), "id", "left_semi")
 
-    def _numbered(self, rows: DataFrame) -> DataFrame:
-        """rows with the sequences that follow the last one, in the order of pos: numbered in many parts side by side."""
-        ranged = rows.repartitionByRange("pos").withColumn("__part", F.spark_partition_id())
-        held = self._held(ranged)
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """rows in parts by ranges of pos, to be written down and then numbered."""
+        return rows.repartitionByRange("pos").withColumn("__part", F.spark_partition_id())
+
+    def _numbered(self, held: DataFrame) -> DataFrame:
+        """Rows that were dealt and written, with the sequences that follow the last one, in the order of pos: each part is numbered by itself."""
         counts = held.groupBy("__part").agg(F.count("*").alias("n"))
         # One row per part is left here.
         before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -309,7 +311,7 @@ class DocStore:
         gen = F.element_at(F.split("rev", "-"), 1).cast("int")
         made = rows.withColumn("gen", gen).withColumn("hash", F.regexp_extract("rev", "^[0-9]+-(.*)$", 1)).withColumn("path", F.slice("path", 1, self.revs_limit))
         new = made.dropDuplicates(["id", "gen", "hash"]).join(self.log().select("id", "gen", "hash"), ["id", "gen", "hash"], "left_anti")
-        held = self._held(new)
+        held = self._held(self._dealt(new))
         self._append("log", self._numbered(held).select(*LOG.names))
         return held.select("pos", "id", "rev", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
 
