@@ -129,11 +129,12 @@ class Collection:
     """Documents in a DataFrame: typed columns, or an id column and one VARIANT column with all fields.
 
     strict: sorting needs an index on the sorted fields and a condition on them, as the request language asks.
+    folder: where the definitions of indexes are kept, so that another session finds them.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "_id", variant: str | None = None, name: str = "docs", strict: bool = False):
+    def __init__(self, df: DataFrame, id_col: str = "_id", variant: str | None = None, name: str = "docs", strict: bool = False, folder: str | None = None):
         self.df, self.id_col, self.variant, self.name, self.strict = df, id_col, variant, name, strict
-        self.catalog = Catalog()
+        self.catalog = Catalog(df.sparkSession, folder)
 
     def create_index(self, index: dict, ddoc: str | None = None, name: str | None = None, type: str = "json", path: str | None = None) -> dict:
         return self.catalog.create(index, ddoc, name, type, self.df, path, self.id_col)

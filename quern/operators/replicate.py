@@ -64,7 +64,9 @@ def replicate(
     result = {"ok": True, "docs_read": 0, "docs_written": 0, "doc_write_failures": 0, "last_seq": 0, "status": "complete"}
     start = since if since is not None else min(_checkpoint(source, name), _checkpoint(target, name)) if checkpoint else 0
     wait = 0.0
+    task = {"type": "replication", "source": source.name, "target": target.name}
     while True:
+        source.tasks.append(task)
         try:
             on("active", {})
             high = source.update_seq()
@@ -88,6 +90,8 @@ def replicate(
             retry, wait = retry - 1, backoff(wait)
             on("paused", {"seconds": wait})
             time.sleep(wait)
+        finally:
+            source.tasks.remove(task)
     result["last_seq"] = max(start, 0)
     on("complete", result)
     return result

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.errors import NotFound, QueryError
 from quern.functions import collate
-from quern.operators.alldocs import UNSET, page
+from quern.operators.alldocs import UNSET, envelope, page
 
 BUILT_IN = ("_count", "_sum", "_stats")
 #: Options that hold keys.
@@ -325,6 +325,15 @@ def query(df: DataFrame, view: ViewSpec | DataFrame, id_col: str = "_id", reduce
     return out.drop("__pos")
 
 
+def result(df: DataFrame, view: ViewSpec | DataFrame, id_col: str = "_id", update_seq: int | None = None, **options: Any) -> dict:
+    """query() as one small result: rows, and for map rows total_rows and offset."""
+    rows = query(df, view, id_col, **options)
+    if "id" not in rows.columns:
+        return envelope(rows, update_seq=update_seq)
+    whole = map_rows(df, view, id_col) if isinstance(view, ViewSpec) else view
+    return envelope(rows, whole.count(), int(options.get("skip", 0)), update_seq)
+
+
 def include_docs(rows: DataFrame, df: DataFrame, id_col: str, sort: list[Column]) -> DataFrame:
     """Add doc: the document that the value names by its _id, or else the emitting one."""
     kind = rows.schema["value"].dataType

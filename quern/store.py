@@ -76,9 +76,11 @@ def winners(log: DataFrame) -> DataFrame:
 class DocStore:
     """A store under a folder. Open it with the same options for the same behaviour; one writer at a time."""
 
-    plugins: dict[str, Callable[..., Any]] = {}
+    #: Listeners to the events of all stores, by event.
+    watchers: dict[str, list[Callable[[dict], None]]] = {}
 
-    def __init__(self, spark: SparkSession, folder: str, auto_compaction: bool = False, revs_limit: int = REVS_LIMIT, deterministic_revs: bool = True):
+    def __init__(self, spark: SparkSession, folder: str, auto_compaction: bool = False, revs_limit: int = REVS_LIMIT, deterministic_revs: bool = True, purged_infos_limit: int = 1000):
+        self.purged_infos_limit = purged_infos_limit
         self.spark, self.folder, self.name = spark, folder.rstrip("/"), folder.rstrip("/").rsplit("/", 1)[-1]
         self.auto_compaction, self.revs_limit, self.deterministic = auto_compaction, revs_limit, deterministic_revs
         self.listeners: dict[str, list[Callable[[dict], None]]] = {}
@@ -105,8 +107,13 @@ class DocStore:
     def on(self, event: str, listener: Callable[[dict], None]) -> None:
         self.listeners.setdefault(event, []).append(listener)
 
+    @classmethod
+    def watch(cls, event: str, listener: Callable[[dict], None]) -> None:
+        """Listen to an event (created, destroyed) of all stores."""
+        cls.watchers.setdefault(event, []).append(listener)
+
     def emit(self, event: str, what: dict) -> None:
-        for listener in self.listeners.get(event, []):
+        for listener in [*self.listeners.get(event, []), *self.watchers.get(event, [])]:
             listener(what)
 
     def close(self) -> None:
@@ -485,8 +492,22 @@ class DocStore:
         cut = next((k for k, (_, g, h) in enumerate(gone) if (g, h) in shared), len(gone))
         marks = self.spark.createDataFrame(gone[:cut], "id string, gen int, hash string")
         self._replace("log", self.log().join(F.broadcast(marks), ["id", "gen", "hash"], "left_anti"))
+        self._note_purge(id, rev_)
         return {"ok": True, "deletedRevs": [f"{g}-{h}" for _, g, h in gone[:cut]], "documentWasRemovedCompletely": len(tips) == 1}
 
+    def purged_infos(self) -> list[dict]:
+        """The last purges: id, rev and their number, the oldest first; at most purged_infos_limit."""
+        try:
+            return self.get_local("_local/purges")["purges"]
+        except NotFound:
+            return []
+
+    def _note_purge(self, id: str, rev_: str) -> None:
+        infos = self.purged_infos()
+        known = {"_rev": self.get_local("_local/purges")["_rev"]} if infos else {}
+        new = {"id": id, "rev": rev_, "purge_seq": infos[-1]["purge_seq"] + 1 if infos else 1}
+        self.put_local({"_id": "_local/purges", "purges": [*infos, new][-self.purged_infos_limit :]} | known)
+
     # Dumps
     def dump(self, folder: str) -> None:
         """All leaves with their ancestors as JSON lines."""

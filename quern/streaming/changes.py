@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,6 +41,22 @@ def feed(log: DataFrame, id_col: str = "id", seq_col: str = "seq", since: int =
     return rows.limit(max(1, limit)) if limit is not None else rows
 
 
+def passes(function: Callable[[dict], bool]) -> Callable[..., Column]:
+    """A Python filter of documents as a Column; it sees batches of them. A document on which it raises doesn't pass."""
+
+    def one(id_: str, body: str | None, deleted: bool) -> bool:
+        try:
+            return bool(function({"_id": id_} | json.loads(body or "{}") | ({"_deleted": True} if deleted else {})))
+        except Exception:  # noqa: BLE001  as a map that raises emits nothing
+            return False
+
+    @F.pandas_udf("boolean")
+    def run(ids: pd.Series, bodies: pd.Series, deleted: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(ids, bodies, deleted, strict=True)], dtype=bool)
+
+    return run
+
+
 class Changes:
     """The feed of a store."""
 
@@ -56,7 +74,8 @@ class Changes:
     ) -> DataFrame:
         """Rows id, seq, changes (revisions), deleted, and doc, conflicts and attachments (stubs) if asked for.
 
-        The filter '_view' passes documents of which the view emits a row.
+        The filter '_view' passes documents of which the view emits a row. A filter may be a Column, or a Python function
+        of the document as a dict.
         """
         if selector is not None and filter is not None and not (isinstance(filter, str) and filter == "_selector"):
             raise QueryError("a selector can't be given with a filter")
@@ -79,6 +98,8 @@ class Changes:
             filter = self.filters[filter](query_params or {})
         if isinstance(filter, Column):
             rows = rows.filter(filter)
+        elif callable(filter):
+            rows = rows.filter(passes(filter)(F.col("id"), F.col("body"), F.col("deleted")))
         if style == "all_docs":
             tips = leaves(log).groupBy("id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("gen", "hash")))), lambda x: F.struct(F.concat_ws("-", x["gen"].cast("string"), x["hash"]).alias("rev"))).alias("changes"))
             rows = rows.join(tips, "id")

@@ -216,3 +216,14 @@ def test_stale_copies_are_not_read(spark, tmp_path):
     spark.range(50, 57).selectExpr("id AS _id", "id % 7 AS n").write.mode("append").parquet(folder)
     docs.df = spark.read.parquet(folder)
     assert docs.find(request).count() == 16
+
+
+def test_catalogs_are_kept(spark, tmp_path):
+    df, folder = spark.range(9).selectExpr("id AS _id", "id % 4 AS n"), str(tmp_path / "catalog")
+    first = Collection(df, folder=folder)
+    first.create_index({"fields": ["n"], "partial_filter_selector": {"n": {"$gt": 1}}}, "d", "i", path=str(tmp_path / "copy"))
+    again = Collection(df, folder=folder)
+    assert again.get_indexes() == first.get_indexes() and again.create_index({"fields": ["n"]}, "d", "i")["result"] == "exists"
+    assert sorted(ids(again, {"n": {"$gt": 0}}, use_index=["d", "i"])) == [2, 3, 6, 7]
+    again.delete_index("d", "i")
+    assert len(Collection(df, folder=folder).get_indexes()["indexes"]) == 1 and not (tmp_path / "copy").exists()

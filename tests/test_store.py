@@ -305,3 +305,23 @@ def test_bulk_get_options(store):
     assert {r["rev"] for r in store.bulk_get([{"id": "d", "rev": "1-a"}], latest=True).collect()} == {"3-z", "2-c", "2-bb"}
     rev = store.put_attachment("x", "a", None, b"\0\1", "t")["rev"]
     assert store.get("x", rev=rev, attachments=True, binary=True)["_attachments"]["a"]["data"] == b"\0\1"
+
+
+def test_purges_are_noted(store):
+    store.purged_infos_limit = 1
+    for id_ in "ab":
+        store.purge(id_, store.put({"_id": id_})["rev"])
+    assert [(p["id"], p["purge_seq"]) for p in store.purged_infos()] == [("b", 2)] and store.info()["doc_count"] == 0
+
+
+def test_python_filters(store):
+    store.bulk_docs([{"_id": "a", "n": 1}, {"_id": "b", "n": 2}, {"_id": "c"}])
+    assert [r["id"] for r in Changes(store).changes(filter=lambda doc: doc["n"] > 1).collect()] == ["b"]
+
+
+def test_watchers(spark, tmp_path):
+    seen = []
+    DocStore.watch("destroyed", seen.append)
+    DocStore(spark, str(tmp_path / "w")).destroy()
+    assert seen == [{"name": "w"}]
+    DocStore.watchers.clear()

@@ -104,3 +104,53 @@ def test_stale(spark, tmp_path):
         views.query("w")
     del views.specs["v"]
     assert views.cleanup() == ["v"] and seen == [{"view": "v", "version": 1}, {"view": "v", "version": 2}]
+
+
+def test_kept_views_of_a_store(spark, tmp_path):
+    from quern.store import DocStore
+    from quern.streaming.changes import views_of
+
+    store, folder, mapped = DocStore(spark, str(tmp_path / "s")), str(tmp_path / "views"), []
+    store.bulk_docs([{"_id": f"d{k}", "n": k % 3} for k in range(9)])
+    view = ViewSpec([Emit(F.try_variant_get("doc", "$.n", "int"), F.col("_id"))], "_count")
+    views = views_of(store, folder)
+    views.on_indexing(mapped.append)
+    views.define("v", view)
+    count = lambda v, **o: {r["key"]: r["value"] for r in v.query("v", group=True, **o).collect()}
+    assert count(views) == {0: 3, 1: 3, 2: 3} == count(views) and len(mapped) == 1
+    store.remove("d0", store.get("d0")["_rev"])
+    store.put({"_id": "d1", "_rev": store.get("d1")["_rev"], "n": 7})
+    # Another session finds what is there.
+    other = views_of(store, folder)
+    other.define("v", view)
+    assert count(other, stale="ok") == {0: 3, 1: 3, 2: 3} and count(other) == {0: 2, 1: 2, 2: 3, 7: 1}
+    # Another definition is another view.
+    other.define("v", ViewSpec([Emit(F.lit("all"))], "_count"))
+    assert count(other) == {"all": 8}
+    other.specs.clear()
+    assert other.cleanup() == ["v"] and not (tmp_path / "views" / "v").exists()
+
+
+def test_errors_are_counted(spark, numbers):
+    def view(doc, emit):
+        emit(doc["k"].upper())
+
+    failed = spark.sparkContext.accumulator(0)
+    assert map_python(numbers, view, "string", "double", errors=failed).count() == 3 and failed.value == 1
+
+
+def test_results(numbers):
+    from quern.operators.views import result
+
+    found = result(numbers, spec("_sum"), reduce=False, skip=1, limit=1)
+    assert (found["total_rows"], found["offset"]) == (4, 1) and [r["id"] for r in found["rows"]] == ["a"]
+    assert result(numbers, spec("_sum"), update_seq=5) == {"update_seq": 5, "rows": [{"key": None, "value": 15.0}]}
+
+
+def test_bad_values(spark):
+    df = spark.createDataFrame([("1", "[1]"), ("2", '["x"]'), ("3", "4")], "_id string, j string").withColumn("v", F.parse_json("j"))
+    view = ViewSpec([Emit(F.lit("k"), F.col("v"))], "_sum")
+    with pytest.raises(Exception, match="takes numbers or lists"):
+        query(df, view, group=True).collect()
+    with pytest.raises(Exception, match="either numbers or lists"):
+        query(df.filter("_id <> '2'"), view, reduce="_stats", group=True).collect()
