@@ -24,7 +24,6 @@ without training rows the score is that of equal shares. Very long texts are sco
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_arrow, remainder, row_blocks, shared_dir, utf8
+from quern.llm.common import map_arrow, remainder, row_blocks, utf8, written
 
 #: Longest context in bytes; sequences have one byte more.
 ORDER = 6
@@ -52,13 +51,6 @@ HELD = 1 << 20
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again."""
-    path = f"{shared_dir(df.sparkSession)}/ppm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def remove(df: DataFrame) -> None:
     """Delete a written table that nothing reads any more."""
     sc, files = df.sparkSession.sparkContext, df.inputFiles()
@@ -131,7 +123,8 @@ def unpack_scores(data: bytes, n: int) -> np.ndarray:
 
 def dealt(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The keys and counts of each part that has any; what parts a key is told by the last two bytes of its context."""
-    part = ((keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65536) % np.uint64(parts)
+    # Numbers of 16 bits are sorted by counting.
+    part = (((keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65536) % np.uint64(parts)).astype(np.uint16)
     by = np.argsort(part, kind="stable")
     keys, counts, part = keys[by], counts[by], part[by].astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.empty(0, np.int64)
@@ -147,7 +140,7 @@ def sequences(data: np.ndarray, order: int) -> Iterator[np.ndarray]:
 
 
 def parts_of(texts: DataFrame) -> int:
-    return max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(1 << 16, max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def counted(texts: DataFrame, order: int, parts: int) -> DataFrame:
@@ -382,14 +375,45 @@ def blocks(rows: DataFrame) -> DataFrame:
     return written(rows.select("key", "text", "held_out").mapInArrow(run, f"block bigint, keys array<{kind}>, held array<boolean>, data binary, ends binary"))
 
 
+def single(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, sorted."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
 def asked(data: np.ndarray, order: int) -> np.ndarray:
     """The distinct sequences of a block's stream, sorted."""
-    held = []
+    held, size = [], 0
     for keys in sequences(data, order):
-        held.append(tally(keys))
-        if len(held) > 8:
-            held = [merge(held)]
-    return merge(held)[0] if held else np.empty(0, np.uint64)
+        held.append(single(keys))
+        size += len(held[-1])
+        if size > 8 * COUNTED:
+            held = [single(np.concatenate(held))]
+            size = len(held[0])
+    return single(np.concatenate(held)) if held else np.empty(0, np.uint64)
+
+
+class Places:
+    """Where known keys stand, for whole arrays of them: in the order of spread keys, found through a table of their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        spread = keys * SPREAD
+        self.order = np.argsort(spread)
+        self.spread = spread[self.order]
+        bits = max(1, int(np.ceil(np.log2(len(keys) + 1))) + 1)
+        self.shift = np.uint64(64 - bits)
+        first = np.bincount((self.spread >> self.shift).astype(np.intp), minlength=1 << bits)
+        self.starts = np.concatenate(([0], np.cumsum(first))).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; all of them are among those given."""
+        spread = keys * SPREAD
+        at = self.starts[(spread >> self.shift).astype(np.intp)]
+        left = np.flatnonzero(self.spread[at] != spread)
+        while len(left):
+            at[left] += 1
+            left = left[self.spread[at[left]] != spread[left]]
+        return at
 
 
 def answers(laid: DataFrame, tables: DataFrame, low: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int, order: int, least: int) -> DataFrame:
@@ -482,17 +506,17 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
             nonlocal row
             ids, held_out, raw, ends = text
             data, starts = stream(raw, ends, order)
-            each = [np.unique(keys, return_inverse=True) for keys in sequences(data, order)]
-            each = [(keys, at.astype(np.int32)) for keys, at in each]
-            sought = np.unique(np.concatenate([keys for keys, _ in each])) if each else np.empty(0, np.uint64)
+            sought = asked(data, order)
             scores, total = np.empty(len(sought), np.float32), np.zeros(len(ends) - 1)
             if held:
                 # Packed as they were asked for.
                 scores[np.concatenate([at for *_, at in dealt(sought, np.arange(len(sought)), parts)])] = np.concatenate(held)
-            for at, (keys, inverse) in zip(range(0, len(data) - order, COUNTED), each, strict=True):
+            places = Places(sought)
+            scores = scores[places.order]
+            for at, keys in zip(range(0, len(data) - order, COUNTED), sequences(data, order), strict=True):
                 piece = data[at + order : at + order + COUNTED]
                 values = np.zeros(len(piece))
-                values[piece != START] = scores[np.searchsorted(sought, keys)][inverse]
+                values[piece != START] = scores[places.find(keys)]
                 i, j = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, at + len(values))
                 total[i:j] += np.add.reduceat(values, np.maximum(starts[i:j] - at, 0))
             view = memoryview(raw)
