@@ -12,6 +12,8 @@ from quern.errors import QueryError
 from quern.operators.find import number
 
 UNSET: Any = object()
+#: Keys of a request that are looked up by a filter; more of them by a join.
+FEW = 1000
 
 
 def key_filter(df: DataFrame, key: str, options: dict) -> DataFrame:
@@ -46,9 +48,12 @@ def all_docs(df: DataFrame, id_col: str = "_id", keys: Sequence[Any] | None = No
         kind = df.schema[id_col].dataType
         listed = list(keys)[::-1] if options.get("descending") else list(keys)
         asked = df.sparkSession.createDataFrame([(listed,)], f"k array<{kind.simpleString()}>").select(F.posexplode("k").alias("__pos", id_col))
-        # The list comes from the request: small by nature, so it is the broadcast side of a lookup in df.
-        met = df.join(F.broadcast(asked.select(id_col).distinct()), id_col, "left_semi")
-        found = asked.join(met.withColumn("__found", F.lit(True)), id_col, "left")
+        if len(listed) <= FEW:
+            # A filter that reaches the scan; as keys are unique, no more rows than that come back to be broadcast.
+            met = F.broadcast(df.filter(F.col(f"`{id_col}`").isin(listed)).withColumn("__found", F.lit(True)))
+        else:
+            met = df.join(asked.select(id_col).distinct(), id_col, "left_semi").withColumn("__found", F.lit(True))
+        found = asked.join(met, id_col, "left")
         return page(found.withColumn("__error", F.when(F.col("__found").isNull(), "not_found")).drop("__found").orderBy("__pos"), options)
     column = F.col(f"`{id_col}`")
     return page(key_filter(df, id_col, options).orderBy(column.desc() if options.get("descending") else column.asc()), options)

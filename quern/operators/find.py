@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json as json_text
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -54,13 +55,30 @@ def number(x: Any, what: str) -> int | None:
     return int(x)
 
 
+def keyed(found: DataFrame, compiler: Compiler, fields: list[tuple[str, str]]) -> DataFrame:
+    """found with __key0, __key1, ...: the binary keys of sort fields that hold arrays or objects in a VARIANT, else null.
+
+    Rows without such a value are split off first, so that they don't pass through Python.
+    """
+    values = {k: v for k, (name, _) in enumerate(fields) if isinstance(v := compiler.field(parse_path(name)), Variant)}
+    if not values:
+        return found
+    nested = {k: F.coalesce(collate.variant_rank(v.column) >= collate.ARRAY, F.lit(False)) for k, v in values.items()}
+    some = reduce(lambda a, b: a | b, nested.values())
+    plain, rest = found.filter(~some), found.filter(some)
+    for k, v in values.items():
+        plain = plain.withColumn(f"__key{k}", F.lit(None).cast("binary"))
+        rest = rest.withColumn(f"__key{k}", F.when(nested[k], collate.binary_key(v.column)))
+    return plain.unionByName(rest)
+
+
 def order(compiler: Compiler, fields: list[tuple[str, str]]) -> list[Column]:
-    """Sort columns in the order of types and values, with the primary key last."""
+    """Sort columns of keyed rows in the order of types and values, with the primary key last."""
     out, descending = [], bool(fields) and fields[0][1] == "desc"
-    for name, _ in fields:
+    for k, (name, _) in enumerate(fields):
         value = compiler.field(parse_path(name))
         if isinstance(value, Variant):
-            keys = [collate.scalar_key(value.column), F.when(collate.variant_rank(value.column) >= collate.ARRAY, collate.binary_key(value.column))]
+            keys = [collate.scalar_key(value.column), F.col(f"__key{k}")]
         elif isinstance(value, Typed):
             keys = [value.column]
         else:
@@ -162,8 +180,11 @@ class Collection:
             return self.df.sparkSession.read.parquet(index.path)
         return self.df
 
-    def find(self, request: dict) -> DataFrame:
-        """The matching documents; in the order of sort, else of the index that was chosen, else of the primary key."""
+    def find(self, request: dict, ordered: bool = True) -> DataFrame:
+        """The matching documents; in the order of sort, else of the index that was chosen, else of the primary key.
+
+        With ordered false, a request for all documents without a sort gives them in any order, and nothing is sorted.
+        """
         r = Request.parse(request)
         index = self.plan(r)
         df = self.source(index)
@@ -173,11 +194,14 @@ class Collection:
             found = found.filter(compile_selector(df, json_text.loads(index.partial), self.id_col, self.variant))
         if isinstance(df.schema[self.id_col].dataType, T.StringType):
             found = found.filter(~F.col(f"`{self.id_col}`").startswith("_design/"))
-        found = found.orderBy(*order(compiler, list(r.sort) or [(f, "asc") for f in index.names if f != "_id"]))
+        by = list(r.sort) or [(f, "asc") for f in index.names if f != "_id"]
+        if ordered or r.sort or r.skip or r.limit is not None:
+            found = keyed(found, compiler, by).orderBy(*order(compiler, by))
         if r.skip:
             found = found.offset(r.skip)
         if r.limit is not None:
             found = found.limit(r.limit)
+        found = found.drop(*(f"__key{k}" for k in range(len(by))))
         return pick(found, r.fields, compiler) if r.fields is not None else found
 
     def warning(self, request: dict) -> str | None:

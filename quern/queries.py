@@ -49,7 +49,7 @@ def find_eq_range_sort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filtered(spark: SparkSession, sf_dir: str, name: str, selector: dict, id_col: str, fields: list[str]) -> DataFrame:
     """All matching rows of a table, through find without a limit."""
-    return Collection(table(spark, sf_dir, name), id_col=id_col).find({"selector": selector, "fields": fields, "limit": None})
+    return Collection(table(spark, sf_dir, name), id_col=id_col).find({"selector": selector, "fields": fields, "limit": None}, ordered=False)
 
 
 @registered("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'O' AND o_orderstatus IS NOT NULL")
@@ -117,7 +117,7 @@ def orders_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def of_orders(spark: SparkSession, sf_dir: str, selector: dict) -> DataFrame:
-    return Collection(orders_as_documents(spark, sf_dir), id_col="id").find({"selector": selector, "fields": ["id"], "limit": None})
+    return Collection(orders_as_documents(spark, sf_dir), id_col="id").find({"selector": selector, "fields": ["id"], "limit": None}, ordered=False)
 
 
 @registered(ORDER_FLAGS + "list_contains(flags, 'A') AND list_contains(flags, 'N')")
@@ -159,7 +159,7 @@ def find_skip_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def find_fields_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     docs = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(F.col("o_orderkey").alias("_id"), F.struct(F.col("o_totalprice").alias("total"), F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("customer")).alias("order"))
-    found = Collection(docs).find({"selector": {"order": {"customer": {"segment": "MACHINERY"}, "total": {"$gt": 50000}}}, "fields": ["_id", "order.customer.name", "order.customer.segment"], "limit": None})
+    found = Collection(docs).find({"selector": {"order": {"customer": {"segment": "MACHINERY"}, "total": {"$gt": 50000}}}, "fields": ["_id", "order.customer.name", "order.customer.segment"], "limit": None}, ordered=False)
     return found.select(F.col("_id").alias("id"), F.col("order.customer.name").alias("name"), F.col("order.customer.segment").alias("segment"))
 
 
@@ -400,7 +400,7 @@ def customers_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def of_customers(spark: SparkSession, sf_dir: str, selector: dict) -> DataFrame:
-    return Collection(customers_as_documents(spark, sf_dir)).find({"selector": selector, "fields": ["c_custkey"], "limit": None})
+    return Collection(customers_as_documents(spark, sf_dir)).find({"selector": selector, "fields": ["c_custkey"], "limit": None}, ordered=False)
 
 
 @registered("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey > 10")
@@ -437,7 +437,7 @@ def find_id_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0")
 def find_without_design_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 3 == 0, "_design/").otherwise("c"), "c_custkey").alias("_id"), "c_custkey")
-    return Collection(docs).find({"selector": {}, "fields": ["c_custkey"], "limit": None})
+    return Collection(docs).find({"selector": {}, "fields": ["c_custkey"], "limit": None}, ordered=False)
 
 
 @registered("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 2000 ORDER BY c_acctbal, c_custkey LIMIT 30")
@@ -453,7 +453,7 @@ def find_partial_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A partial index that is named is read from its sorted copy, and gives only what it holds."""
     docs = Collection(table(spark, sf_dir, "orders"), id_col="o_orderkey")
     docs.create_index({"fields": ["o_totalprice"], "partial_filter_selector": {"o_orderstatus": "F"}}, "done", "by_price", path=scratch(spark))
-    return docs.find({"selector": {"o_totalprice": {"$gt": 150000}}, "use_index": ["done", "by_price"], "fields": ["o_orderkey", "o_totalprice"], "limit": None})
+    return docs.find({"selector": {"o_totalprice": {"$gt": 150000}}, "use_index": ["done", "by_price"], "fields": ["o_orderkey", "o_totalprice"], "limit": None}, ordered=False)
 
 
 def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:

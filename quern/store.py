@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.errors import NotFound, QueryError
-from quern.operators.alldocs import all_docs
+from quern.operators.alldocs import FEW, all_docs
 
 
 def struct(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -37,8 +37,6 @@ LOCAL = struct(("id", STRING), ("rev", INT), ("body", STRING), ("deleted", BOOL)
 BLOBS = struct(("digest", STRING), ("data", T.BinaryType()))
 WRITES = struct(("pos", INT), ("id", STRING), ("rev", STRING), ("deleted", BOOL), ("body", STRING), ("attachments", ATTACHMENTS), ("path", T.ArrayType(STRING)), ("force", BOOL), ("valid", BOOL))
 REVS_LIMIT, REVS_MOST = 1000, (1 << 31) - 1
-#: Written ids that a read of the log is restricted to by a pushed filter; more of them by a join.
-FEW = 1000
 
 
 def rev(gen: str | Column = "gen", hash: str | Column = "hash") -> Column:
