@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from quern.llm import embeddings, langid, quality, sharding, simhash, toxicity, warc
+from quern.llm import embeddings, langid, ppm, quality, sharding, simhash, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string"
 WORDS = "the of and river stone light winter paper green moon seven letters quietly house garden".split()
@@ -93,6 +93,27 @@ def test_clusters_and_tiles(spark, monkeypatch, block):
     assert sorted(out.doc_id) == sorted(set(root))
 
 
+def test_long_texts_have_the_fingerprint_of_all_shingles():
+    words = np.random.default_rng(9).choice(5000, 10_000).astype(str).tolist()
+    votes = np.zeros(64, int)
+    for k in range(len(words) - 2):
+        h = xxhash.xxh64_intdigest(" ".join(words[k : k + 3]), 42)
+        votes += [(h >> (63 - b)) & 1 for b in range(64)]
+    want = int("".join("1" if 2 * v > len(words) - 2 else "0" for v in votes), 2)
+    assert simhash.fingerprint(" ".join(words).encode(), 3) == want
+
+
+# Language models
+def test_sequences_across_pieces():
+    data = np.random.default_rng(1).integers(0, 256, (2 << 20) + 1234).astype(np.uint8)
+    whole = ppm.windows(data, 7)[data[6:] != ppm.START]
+    assert (np.concatenate(list(ppm.sequences(data, 6))) == whole).all()
+    distinct = ppm.asked(data, 6)
+    assert (distinct == np.unique(whole)).all()
+    places = ppm.Places(distinct)
+    assert (distinct[places.order[places.find(whole[:100_000])]] == whole[:100_000]).all()
+
+
 # Embeddings
 @pytest.mark.parametrize("dim", [64, 1536, 4096])
 def test_products_are_exact(dim):
