@@ -71,21 +71,35 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the links (i, j) between n nodes make a spanning forest, the first ones preferred, and each node's root.
+    """Which of the links (i, j) between n nodes make the spanning forest that prefers the first ones, and the smallest node that each reaches.
 
-    In each turn every root that a link leads to a smaller one takes the first such link, so that no turn closes a circle.
+    In each turn every part takes the first link that leads out of it. Where two parts take the same, the smaller one stays.
     """
     root, left, made = np.arange(n) if root is None else root.copy(), np.arange(len(i)), [np.empty(0, np.int64)]
     while len(left):
         a, b = root[i[left]], root[j[left]]
         apart = a != b
-        left, high, low = left[apart], np.maximum(a, b)[apart], np.minimum(a, b)[apart]
-        high, first = np.unique(high, return_index=True)
-        made.append(left[first])
-        root[high] = low[first]
-        while (root[root] != root).any():
-            root = root[root]
-    return np.concatenate(made), root
+        left, a, b = left[apart], a[apart], b[apart]
+        if not len(left):
+            break
+        first = np.full(n, len(i))
+        for ends in (a, b):
+            # Written backwards, the first link is the last one to be written.
+            mine = np.full(n, len(i))
+            mine[ends[::-1]] = left[::-1]
+            first = np.minimum(first, mine)
+        parts = np.flatnonzero(first < len(i))
+        link = first[parts]
+        made.append(np.unique(link))
+        to = np.arange(n)
+        to[parts] = root[i[link]] + root[j[link]] - parts
+        both = np.flatnonzero((to[to] == np.arange(n)) & (to > np.arange(n)))
+        to[both] = both
+        while (to[to] != to).any():
+            to = to[to]
+        root = to[root]
+    _, least, of = np.unique(root, return_index=True, return_inverse=True)
+    return np.concatenate(made), least[of]
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -243,8 +257,8 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
 def wide_links(prints: np.ndarray, p: int, matches: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of the posting list of position p (rows of POSITIONS bytes) that share enough bytes and differ in few enough bits.
 
-    Those of a spanning forest that takes the nearest first. Rows are compared where another byte after p matches as
-    well; a pair belongs to the list of the first position at which it matches.
+    Those of a spanning forest that takes the nearest first, and of these the first rows. Rows are compared where another
+    byte after p matches as well. As all lists prefer the same pairs, those of different lists are mostly the same.
     """
     words, held, size = np.ascontiguousarray(prints).view(np.uint64), [], 0
     later = np.arange(p + 1, POSITIONS)
@@ -254,7 +268,7 @@ def wide_links(prints: np.ndarray, p: int, matches: int, bits: int) -> tuple[np.
 
     def spanning() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, y, differ = (np.concatenate(c) for c in zip(*held, strict=True))
-        nearest = np.argsort(differ, kind="stable")
+        nearest = np.lexsort((np.maximum(x, y), np.minimum(x, y), differ))
         made = nearest[forest(len(prints), x[nearest], y[nearest])[0]]
         return x[made], y[made], differ[made]
 
@@ -264,8 +278,8 @@ def wide_links(prints: np.ndarray, p: int, matches: int, bits: int) -> tuple[np.
             break
         x, y = order[at, q], order[at + step, q]
         equal = prints[x] == prints[y]
-        # The first two matches of the pair are p and q, so it is met once.
-        once = ~equal[:, :p].any(axis=1) & (np.argmax(equal[:, p + 1 :], axis=1) == q) & (equal.sum(axis=1) >= matches)
+        # The first match of the pair after p is q, so it is met once in this list.
+        once = (np.argmax(equal[:, p + 1 :], axis=1) == q) & (equal.sum(axis=1) >= matches)
         x, y = x[once], y[once]
         differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int16)
         close = differ <= bits
@@ -304,8 +318,9 @@ def wide_edges(nodes: DataFrame, matches: int, bits: int) -> DataFrame:
         def links_held() -> Iterator[pa.RecordBatch]:
             if len(nodes_held) < 2:
                 return
-            ids = np.array(nodes_held)
-            x, y = wide_links(np.frombuffer(b"".join(prints_held), np.uint8).reshape(-1, POSITIONS), held_key >> 8, matches, bits)
+            by = np.argsort(nodes_held)
+            ids = np.array(nodes_held)[by]
+            x, y = wide_links(np.frombuffer(b"".join(prints_held), np.uint8).reshape(-1, POSITIONS)[by], held_key >> 8, matches, bits)
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
 
