@@ -563,6 +563,11 @@ def writes(rows: DataFrame) -> DataFrame:
     return rows.select("pos", "id", "body", *(n for n in names if n in rows.columns), *more, none.alias("attachments"), F.lit(None).cast("array<string>").alias("path"), F.lit(False).alias("force"), F.lit(True).alias("valid"))
 
 
+def last_revisions(store: DocStore) -> DataFrame:
+    """(pos, id, rev, body) of all live documents, to be changed by writes. Positions are 64-bit: from the second partition on they pass 2^33."""
+    return store.docs().select(F.monotonically_increasing_id().alias("pos"), F.col("_id").alias("id"), F.col("_rev").alias("rev"), "body")
+
+
 def store_of_customers(spark: SparkSession, sf_dir: str, steps: int = 3) -> DocStore:
     """All customers; then those of ten nations once more; then every seventh is removed."""
     store = DocStore(spark, scratch(spark))
@@ -638,10 +643,8 @@ def replicate_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A target that took the first revisions takes the last ones: what was removed or changed in between doesn't come back."""
     source, target = store_of_customers(spark, sf_dir, 1), DocStore(spark, scratch(spark))
     replicate(source, target)
-    customers = source.docs().select(F.monotonically_increasing_id().cast("int").alias("pos"), F.col("_id").alias("id"), F.col("_rev").alias("rev"), "body", F.get_json_object("body", "$.nation").cast("int").alias("nation"))
-    source.bulk_docs(writes(customers.filter("nation < 10")))
-    left = source.docs().select(F.monotonically_increasing_id().cast("int").alias("pos"), F.col("_id").alias("id"), F.col("_rev").alias("rev"), "body")
-    source.bulk_docs(writes(left.filter("id % 7 = 0").withColumn("deleted", F.lit(True))))
+    source.bulk_docs(writes(last_revisions(source).filter(F.get_json_object("body", "$.nation").cast("int") < 10)))
+    source.bulk_docs(writes(last_revisions(source).filter("id % 7 = 0").withColumn("deleted", F.lit(True))))
     replicate(source, target)
     return leaves(target.log()).select("id", "gen", "deleted")
 

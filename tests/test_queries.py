@@ -32,6 +32,19 @@ def test_query(spark, sf_dir, duck, name):
     assert plain(tuple(r[c] for c in columns) for r in df.collect()) == plain(tuple(r[expected.columns.index(c)] for c in columns) for r in expected.fetchall())
 
 
+@pytest.fixture
+def spread(spark):
+    """Shuffles keep all their partitions, as with larger tables."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("name", ["replicate_deleted"])
+def test_stores_of_several_partitions(spread, sf_dir, duck, name):
+    test_query(spread, sf_dir, duck, name)
+
+
 def test_entry(spark):
     import __spark_entry__
 
