@@ -40,7 +40,7 @@ def spread(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("name", ["replicate_deleted"])
+@pytest.mark.parametrize("name", ["replicate_deleted", "view_persisted"])
 def test_stores_of_several_partitions(spread, sf_dir, duck, name):
     test_query(spread, sf_dir, duck, name)
 
