@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.alldocs import all_docs, next_page, prefix
@@ -259,12 +259,27 @@ def view_stats_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", F.col("i").cast("bigint").alias("i"), F.round("x.sum", 3).alias("sum"), "x.count", F.round("x.min", 5).alias("min"), F.round("x.max", 5).alias("max"))
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df, as read from its files, with __place: where a row stands in them, files in the order of their paths."""
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    # One row per file is left here.
+    files = rows.select("__file").distinct().withColumn("__nth", F.row_number().over(Window.orderBy("__file")).cast("bigint"))
+    return rows.join(F.broadcast(files), "__file").withColumn("__place", F.shiftleft("__nth", 40) + F.col("__row")).drop("__file", "__nth", "__row")
+
+
+def joined(keys: list, values: list, rereduce: bool) -> str | None:
+    """A reducer that joins texts; missing ones don't count."""
+    there = [v for v in values if v is not None]
+    return ",".join(there) if there else None
+
+
 @registered("SELECT l_orderkey AS key, string_agg(l_linenumber::VARCHAR || ':' || l_returnflag, ',' ORDER BY l_linenumber) AS value FROM lineitem GROUP BY 1")
 def view_custom_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    value = F.concat_ws(":", F.col("l_linenumber").cast("string"), "l_returnflag")
-    spec = ViewSpec([Emit(F.col("l_orderkey"), value)], lambda keys, values, rereduce: ",".join(values), "string")
-    return query(lines, spec, "l_linenumber", group=True)
+    """Lines of one number in an order aren't unique: they stay as they stand in the files, however rows are dealt."""
+    lines = placed(table(spark, sf_dir, "lineitem")).withColumn("_id", F.struct("l_linenumber", "__place"))
+    value = F.concat(F.col("l_linenumber").cast("string"), F.lit(":"), "l_returnflag")
+    spec = ViewSpec([Emit(F.col("l_orderkey"), value)], joined, "string")
+    return query(lines, spec, group=True)
 
 
 @registered("SELECT o.o_orderkey AS id, o.o_orderstatus AS key, c.c_name AS name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 100000")

@@ -45,6 +45,29 @@ def test_stores_of_several_partitions(spread, sf_dir, duck, name):
     test_query(spread, sf_dir, duck, name)
 
 
+def custom_reduce(spark, folder, files):
+    """view_custom_reduce over lineitem files of (key, number, flag) rows, and its SQL, which reads them in their order with one thread."""
+    kinds = "l_orderkey BIGINT, l_linenumber INT, l_returnflag VARCHAR"
+    (folder / "lineitem.parquet").mkdir()
+    one = duckdb.connect(config={"threads": 1})
+    for k, sql in enumerate(files):
+        one.execute(f"CREATE OR REPLACE TABLE t ({kinds}); INSERT INTO t {sql}; COPY t TO '{folder}/lineitem.parquet/part-{k}.parquet'")
+    one.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    got = {r["key"]: r["value"] for r in QUERIES["view_custom_reduce"](spark, str(folder)).collect()}
+    return got, dict(one.sql(ORACLE_SQL["view_custom_reduce"]).fetchall())
+
+
+def test_custom_reduce_keeps_the_order_of_files(spark, tmp_path):
+    # Spark reads the largest file first.
+    got, expected = custom_reduce(spark, tmp_path, ["VALUES (1, 1, 'R'), (1, 2, 'R'), (1, 1, 'N')", "SELECT i, 1, 'A' FROM range(50000) t(i) UNION ALL VALUES (1, 2, 'N'), (1, 1, 'N')"])
+    assert got == expected and got[1] == "1:R,1:N,1:A,1:N,2:R,2:N"
+
+
+def test_custom_reduce_of_missing_values(spark, tmp_path):
+    got, expected = custom_reduce(spark, tmp_path, ["VALUES (1, 2, 'R'), (1, 1, NULL), (1, NULL, 'N'), (2, 1, NULL), (NULL, 1, 'A')"])
+    assert got == expected == {1: "2:R", 2: None, None: "1:A"}
+
+
 def test_entry(spark):
     import __spark_entry__
 
